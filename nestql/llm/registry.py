@@ -7,6 +7,7 @@ from importlib import import_module
 #: Module of each query.
 MODULES = {
     "op3_line_dedup": "line_dedup",
+    "op4_simhash_near_dedup": "simhash",
 }
 
 

@@ -1,0 +1,102 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from nestql.llm import simhash as S
+
+SCHEMA = "doc_id long, text string, extra string"
+
+
+def brute_print(text, k=4):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or [" ".join(words)]
+    hs = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(ids, prints, most=4):
+    up = {i: i for i in ids}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in zip(ids, prints):
+        for j, b in zip(ids, prints):
+            if i < j and bin(a ^ b).count("1") <= most:
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+def test_fingerprint_matches_brute_force():
+    rng = random.Random(1)
+    texts = [None, "", " \n", "One", "a b c", "A b C d", "x y z\tw v", "É e É e É"]
+    texts += [" ".join(rng.choice(["Aa", "b", "É", "cc"]) for _ in range(rng.randrange(40))) for _ in range(50)]
+    texts.append("w " * 70_000)
+    for t in texts[:-1]:
+        assert S.fingerprint(t) == brute_print(t)
+    assert S.fingerprint(texts[-1]) == xxhash.xxh64(b"w w w w", seed=42).intdigest()
+
+
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_components_match_brute_force(spark, tile, monkeypatch):
+    rng = random.Random(2)
+    prints = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 9)):
+            prints.append(base)
+            for _ in range(rng.randrange(0, 5)):
+                base ^= 1 << rng.randrange(64)
+    rng.shuffle(prints)
+    ids = list(range(100, 100 + len(prints)))
+    nodes = {}
+    for i, p in zip(ids, prints):
+        nodes.setdefault(p, i)
+    df = spark.createDataFrame([(S.signed(p), i) for p, i in nodes.items()], f"{S._FP} long, {S._ID} long")
+    edges = S.links(df, tile=tile)
+    labels = {r[S._B]: r[S._A] for r in S.component_labels(edges).collect()}
+    want = brute_components(ids, prints)
+    for p, i in nodes.items():
+        assert labels.get(i, i) == want[i]
+
+
+def test_thresholds_cover_every_linked_pair():
+    rng = random.Random(3)
+    gram = np.diag([100.0 + i for i in range(64)])
+    for n in (1000, 10_000_000, 10_000_000_000):
+        for m in (3, 4, 5):
+            parts = S.layout(gram, 400, m)
+            assert sorted(b for p in parts for b in p) == list(range(64))
+            _, ts = S.thresholds(parts, [n * n / 2 / 2 ** len(p) for p in parts], n, np.full(64, 0.5), 4)
+            assert sum(t + 1 for t in ts) == 5
+            for _ in range(200):
+                flip = set(rng.sample(range(64), 4))
+                assert any(t >= 0 and len(flip & set(p)) <= t for p, t in zip(parts, ts))
+
+
+def test_cases(spark):
+    text = "one two three four five six seven"
+    rows = [(1, None, "x"), (2, "", "x"), (3, text, None), (3, text, None), (4, text.upper(), "y"), (None, text, "z"), (9, "q " * 50_000, "l")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("extra", "Component_ID")
+    got = sorted(((r.doc_id, r.component_id) for r in S.components(df).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (None, None), (9, 9)], key=str)
+    kept = S.drop_near_duplicates(df)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 9, None], key=str)
+    assert kept.columns == df.columns
+    assert S.components(df.limit(0)).collect() == []
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas()
+    out = S.op4_simhash_near_dedup(spark, sf_dir).toPandas().set_index("doc_id")
+    prints = [brute_print(t) for t in docs.text]
+    want = brute_components(docs.doc_id.tolist(), prints)
+    assert [int(x, 16) for x in out.fingerprint[docs.doc_id]] == prints
+    assert out.component_id[docs.doc_id].tolist() == [want[i] for i in docs.doc_id]
