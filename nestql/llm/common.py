@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     at = total = 0
     for i, n in enumerate(lengths):
         if i > at and (i - at >= SLICE_ROWS or total + n > SLICE_CHARS):
