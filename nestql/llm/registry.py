@@ -8,6 +8,9 @@ from importlib import import_module
 MODULES = {
     "op3_line_dedup": "line_dedup",
     "op4_simhash_near_dedup": "simhash",
+    "op6_token_counts": "token_counts",
+    "op9_language_id": "language_id",
+    "op10_byte_bpe": "byte_bpe",
 }
 
 

@@ -1,0 +1,76 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from nestql.llm import language_id as L
+
+
+def brute_model(counts: Counter, order: int, vocabulary: int):
+    """Interpolated Kneser-Ney of one language, by dictionaries."""
+    raw = [Counter() for _ in range(order + 1)]
+    for w, k in counts.items():
+        s = f"\x02{w}\x03"
+        for n in range(1, order + 1):
+            for i in range(n - 1, len(s)):
+                if i > 0:
+                    raw[n][s[i - n + 1 : i + 1]] += k
+    level = [None] * (order + 1)
+    for n in range(1, order + 1):
+        c = dict(raw[n])
+        if n < order:
+            before = Counter(g[1:] for g in raw[n + 1])
+            c = {g: (k if g[0] == "\x02" and n > 1 else before.get(g, 0) or (k if g[0] == "\x02" else 0)) for g, k in c.items()}
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        level[n] = (c, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+
+    def prob(gram):
+        n = len(gram)
+        if n == 0:
+            return 1.0 / (vocabulary + 1)
+        c, d = level[n]
+        own = [(g, v) for g, v in c.items() if g[:-1] == gram[:-1]]
+        total, kinds = sum(v for _, v in own), sum(v > 0 for _, v in own)
+        low = prob(gram[1:])
+        if total == 0:
+            return low
+        return max(c.get(gram, 0) - d, 0) / total + d * kinds / total * low
+
+    return prob
+
+
+def test_scores_match_brute_force():
+    counts = {"x": Counter({"abab": 3, "abc": 2, "ca": 1, "bb": 1}), "y": Counter({"cab": 2, "dd": 1, "abd": 4, "d": 2})}
+    model = L.fit_counts(counts, order=3)
+    vocabulary = len({c for per in counts.values() for w in per for c in w} | {"\x03"})
+    for k, lang in enumerate(model.languages):
+        prob = brute_model(counts[lang], 3, vocabulary)
+        for w in ["abab", "abc", "cad", "dab", "z", "bbbb", "acz"]:
+            s = f"\x02{w}\x03"
+            want = -sum(np.log(prob(s[max(0, i - 2) : i + 1])) for i in range(1, len(s)))
+            got = model.word_scores([w, "ab"])[0, k]
+            assert abs(got - want) < 1e-4, (lang, w)
+
+
+def test_held_out_accuracy_and_inputs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id")
+    out = L.op9_language_id(spark, sf_dir).toPandas().set_index("doc_id").loc[docs.index]
+    assert out.held_out.tolist() == [zlib.crc32(str(i).encode()) % 3 == 1 for i in docs.index]
+    held = out.held_out
+    assert (out.lang_pred[held] == docs.lang[held]).mean() > 0.95
+    assert out.score.between(0, 1).all() and out.rejected.mean() < 0.02
+
+
+def test_cases(spark):
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 40)]
+    rows += [(900, None, "en", "s"), (901, "", None, None), (902, "12 !!", "de", "s"), (None, "the dog", "en", "s"), (903, "the " * 30_000, None, "s"), (903, "the dog", None, "s"), (903, "the dog", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score string")
+    out = L.identify(df, L.train(df)).collect()
+    assert len(out) == len(rows)
+    by = {r.doc_id: r for r in out}
+    for i in (900, 901, 902):
+        assert (by[i].lang_pred, by[i].score, by[i].rejected) == ("und", 0.0, True)
+    assert {r.lang_pred for r in out if r.doc_id in (None, 903)} == {"en"}
+    assert L.identify(df.limit(0), L.train(df)).collect() == []
+    assert L.train(df.limit(0)) is None
+    assert {r.lang_pred for r in L.identify(df, None).collect()} == {"und"}
