@@ -6,8 +6,10 @@ from importlib import import_module
 
 #: Module of each query.
 MODULES = {
+    "op2_html_text": "html_text",
     "op3_line_dedup": "line_dedup",
     "op4_simhash_near_dedup": "simhash",
+    "op5_ogg_media": "ogg",
     "op6_token_counts": "token_counts",
     "op9_language_id": "language_id",
     "op10_byte_bpe": "byte_bpe",
