@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each query.
 MODULES = {
+    "op1_topk_search": "topk",
     "op2_html_text": "html_text",
     "op3_line_dedup": "line_dedup",
     "op4_simhash_near_dedup": "simhash",
