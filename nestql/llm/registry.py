@@ -12,6 +12,7 @@ MODULES = {
     "op4_simhash_near_dedup": "simhash",
     "op5_ogg_media": "ogg",
     "op6_token_counts": "token_counts",
+    "op7_mixing": "mixing",
     "op8_pii": "pii",
     "op9_language_id": "language_id",
     "op10_byte_bpe": "byte_bpe",
