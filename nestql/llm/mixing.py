@@ -107,7 +107,7 @@ def _raked_here(rows: list, targets: Targets | None, keep: float, temper: float,
     for m in MARGINS:
         names = sorted({r[m] for r in rows})
         number = {v: i for i, v in enumerate(names)}
-        at = np.array([number[r[m]] for r in rows])
+        at = np.array([number[r[m]] for r in rows], np.int64)
         have = np.bincount(at, weights=sums, minlength=len(names))
         share = _shares(dict(zip(names, have.tolist(), strict=True)), (targets or {}).get(m), temper)
         values.append(at)
