@@ -58,8 +58,12 @@ class Engine:
                 s.arguments[name] = value_of(default)
         return planner.query(entity, s)
 
-    def frame(self, s: Selection) -> DataFrame:
-        df = self.planner().frame(self.root_query(s))
+    def frame(self, s: Selection, by_key: bool = False) -> DataFrame:
+        """``by_key``: rows without an order come by their key."""
+        q = self.root_query(s)
+        if by_key and not q.order:
+            q.order = [(c, False) for c in q.entity.primary_key]
+        df = self.planner().frame(q)
         if self.debug:
             log.info("%s\n%s", s.key, df._jdf.queryExecution().toString())
         return df
@@ -104,7 +108,7 @@ class Engine:
             return "Query"
         if s.name in ("__schema", "__type"):
             return self.schema.introspect(s)
-        rows = self._rows(self.frame(s))
+        rows = self._rows(self.frame(s, by_key=True))
         return (rows[0] if rows else None) if self.schema.roots[s.name][1] else rows
 
     def _mutation(self, s: Selection) -> Any:
