@@ -1,0 +1,32 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from nestql.queries import QUERIES, SQL
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query_matches_sql(spark, sf_dir, duck, name):
+    df = QUERIES[name](spark, sf_dir)
+    names = sorted(df.columns)
+    rel = duck.execute(SQL[name])
+    columns = [d[0] for d in rel.description]
+    assert sorted(columns) == names
+    want = [tuple(r[columns.index(n)] for n in names) for r in rel.fetchall()]
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, want))
+
+
+def test_entry(spark):
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) == set(SQL) <= set(entry.queries())
+    assert entry.entry(spark).columns == ["c_custkey", "c_name", "nation", "orders"]
