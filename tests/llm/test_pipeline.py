@@ -1,0 +1,99 @@
+"""Each stage of the pipeline against a plain version, on its own input."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+import corpus_pipeline as C
+from nestql.llm import bpe, language_id, mixing
+from tests.llm.test_line_dedup import brute as brute_lines
+from tests.llm.test_simhash import brute_components, brute_print
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    """Name -> (input rows, output rows), each stage's output written and read again."""
+    folder = tmp_path_factory.mktemp("stages")
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in C.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        after = spark.read.parquet(f"{folder}/{name}")
+        if name != C.STAGES[-1][0]:
+            assert after.columns == COLUMNS
+        out[name] = (docs.orderBy("doc_id").collect(), after.orderBy("doc_id").collect())
+        docs = after
+    return out
+
+
+def test_language_id(spark, sf_dir, stages):
+    before, after = stages["language_id"]
+    model = language_id.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    h, chars = language_id.Scorer(model).entropies([r.text for r in before])
+    stay = [r for r, x, n in zip(before, h, chars) if n and x.min() <= model.limits[x.argmin()]]
+    assert after == stay and len(after) > 0.95 * len(before)
+
+
+def test_line_dedup(stages):
+    before, after = stages["line_dedup"]
+    want = {i: t for i, _, _, t in brute_lines([(r.doc_id, r.text) for r in before])}
+    assert [(r.doc_id, r.text, r.n_chars) for r in after] == [(r.doc_id, want[r.doc_id], len(want[r.doc_id])) for r in before]
+    assert [(r.lang, r.source) for r in after] == [(r.lang, r.source) for r in before]
+
+
+def test_near_duplicates(stages):
+    before, after = stages["simhash_near_dedup"]
+    groups = brute_components([r.doc_id for r in before], [brute_print(r.text) for r in before])
+    assert after == [r for r in before if groups[r.doc_id] == r.doc_id]
+
+
+def test_mixing(stages):
+    before, after = stages["mixing"]
+
+    def topic(text):
+        return next((n for n, marks in mixing.TOPICS.items() if any(m in text for m in marks)), mixing.OTHER)
+
+    cell = {r.doc_id: (r.source, r.lang, topic(r.text)) for r in before}
+    keys = sorted(set(cell.values()))
+    sums = np.zeros(len(keys))
+    for r in before:
+        sums[keys.index(cell[r.doc_id])] += len(r.text.split())
+    values = [np.unique([k[i] for k in keys], return_inverse=True)[1] for i in range(3)]
+    have = [np.bincount(v, weights=sums) for v in values]
+    shares = [np.where(x > 0, x**mixing.TEMPER, 0) for x in have]
+    p = mixing.probabilities(sums, mixing.rake(values, sums, [s / s.sum() for s in shares]), mixing.KEEP)
+    draw = lambda i: int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:8], 16) / 2**32
+    assert after == [r for r in before if draw(r.doc_id) < p[keys.index(cell[r.doc_id])]]
+    assert 0.6 < sum(len(r.text.split()) for r in after) / sums.sum() < 0.95
+
+
+def test_byte_bpe(stages):
+    before, after = stages["byte_bpe"]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert [r.doc_id for r in after] == [r.doc_id for r in before] and all(r.round_trip for r in after)
+    for b, a in zip(before, after):
+        assert np.frombuffer(bytes(a.ids), "<u4").tolist() == library.encode_ordinary(b.text)
+        assert a.n_tokens == len(a.ids) // 4
+
+
+def test_run_applies_all_stages(spark, sf_dir, stages):
+    got = C.run(spark, sf_dir).orderBy("doc_id").collect()
+    assert got == stages["byte_bpe"][1]
+
+
+def test_cases(spark):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "12 34", "en", "a", 5), (None, "the cat sat on the mat", "en", "a", 22)]
+    rows += [(i, f"the dog number {i} sat on the mat of house {i * 7} and ate\nshared line of text", "en", None, 1) for i in range(10, 40)]
+    rows += [(40, "the mat " * 20_000, "en", "b", 1), (40, "the mat " * 20_000, "en", "b", 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, Rejected string")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            frame = stage(spark, frame, "")
+            if name != C.STAGES[-1][0]:
+                assert frame.columns == [*COLUMNS, "Rejected"]
+        out = frame.collect()
+        assert all(r.round_trip for r in out) and len({r.doc_id for r in out}) == len(out)
