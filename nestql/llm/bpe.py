@@ -13,7 +13,8 @@ import base64
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,7 @@ MEMORY = 300_000
 WINDOW = 1 << 20
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
+_word_like = regex.compile(r"[\p{L}\p{N}]")
 _blank = "".join(re.escape(chr(c)) for c in range(0x3001) if regex.match(r"\s", chr(c)))
 #: A text's words, each with the blank before it, and its runs of blanks: the pattern's matches never cross their edges.
 WORD = re.compile(f" ?[^{_blank}]+|[{_blank}]+(?![^{_blank}])|[{_blank}]")
@@ -183,8 +185,44 @@ def from_ranks(path: str) -> tuple[Merges, dict[bytes, int], list[bytes]]:
     return Merges(np.array([ranks[bytes([b])] for b in range(256)]), np.array(pairs, np.int64)), ranks, words
 
 
-def pieces(words: Iterable[str]) -> tuple[list[bytes], list[list[int]]]:
+def matches(text: str, other: Callable[[str], bool]) -> list[str]:
+    """The pattern's matches, which make up the text.
+
+    Characters may be letters or numbers to the pattern engine here and not yet
+    to a tokenizer library, whose tables are older; ``other(c)`` tells which.
+    """
+    if not text.isascii() and max(text) > "\u0530":
+        new = {c for c in set(text) if c > "\u0530" and unicodedata.category(c) == "Cn" and _word_like.match(c) and other(c)}
+        if new:
+            shown = text.translate({ord(c): "\u2603" for c in new})  # a symbol, of the same length
+            return [text[m.start() : m.end()] for m in PATTERN.finditer(shown)]
+    return PATTERN.findall(text)
+
+
+def pieces(words: Iterable[str], other: Callable[[str], bool]) -> tuple[list[bytes], list[list[int]]]:
     """Distinct matches of the pattern in words, as bytes, and for each word their numbers."""
     numbers: dict[str, int] = {}
-    of = [[numbers.setdefault(p, len(numbers)) for p in PATTERN.findall(w)] for w in words]
+    of = [[numbers.setdefault(p, len(numbers)) for p in matches(w, other)] for w in words]
     return [p.encode("utf-8", "surrogatepass") for p in numbers], of
+
+
+@lru_cache(maxsize=4096)
+def other_in_tokenizers(c: str) -> bool:
+    """Whether the tokenizers library takes a character for neither letter nor number: it then joins an apostrophe."""
+    from tokenizers import pre_tokenizers
+
+    return len(pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(c + "'s")[0][0]) > len(c.encode())
+
+
+@lru_cache(maxsize=4096)
+def other_in_tiktoken(c: str) -> bool:
+    return _probe().encode_ordinary(c + "'s")[-1] != 256
+
+
+@lru_cache(maxsize=1)
+def _probe():
+    """An encoding of single bytes and the one token ``'s``, which shows where a split is."""
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"'s": 256}
+    return tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

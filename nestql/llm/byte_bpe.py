@@ -18,6 +18,7 @@ give no rows; input columns named like an output are replaced, others are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ class Encoder:
             self.known.clear()
             new = words
         order = list(new)
-        strings, of = bpe.pieces(order)
+        strings, of = bpe.pieces(order, bpe.other_in_tiktoken)
         ids = [np.asarray(x, "<u4").tobytes() for x in self.pieces(strings)]
         self.known |= {w: b"".join([ids[i] for i in own]) for w, own in zip(order, of, strict=True)}
 
@@ -89,7 +90,7 @@ def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
 
 def edges(part: str, start: int) -> list[int]:
     """Ends of the pattern's matches in a chunk, as places in the text."""
-    return [start + m.end() for m in bpe.PATTERN.finditer(part)]
+    return [start + e for e in accumulate(map(len, bpe.matches(part, bpe.other_in_tiktoken)))]
 
 
 def stitched(starts: list[int], parts: list[str], ends: list[list[int]]) -> list[str]:
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, over
             found = [edges(p.as_py(), s.as_py()) for s, p in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, _EDGES])
 
-    def stitch(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def stitch(key, frame):
         frame = frame.sort_values(_K)
         found = stitched(frame[_START].tolist(), frame[_PART].tolist(), [e.tolist() for e in frame[_EDGES]])
         ids = Encoder(path).matches(found)

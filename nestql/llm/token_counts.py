@@ -35,7 +35,7 @@ class Counter:
             self.known.clear()
             new = words
         order = list(new)
-        strings, of = bpe.pieces(order)
+        strings, of = bpe.pieces(order, bpe.other_in_tokenizers)
         counts = [len(x) for x in self.merges.encode(strings)]
         self.known |= {w: sum(counts[i] for i in ids) for w, ids in zip(order, of, strict=True)}
 

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from nestql.llm import bpe, byte_bpe, token_counts
 
-ALPHABET = [" ", "  ", "\n", "\t", "'s", "'", "é", "ß", "a", "b", "the", "1", "22", "!", "\x85", "\xa0", "　", "\x1c", "<|endoftext|>", "日", "😀", "aaaa"]
+ALPHABET = [" ", "  ", "\n", "\t", "'s", "'", "é", "ß", "a", "b", "the", "1", "22", "!", "\x85", "\xa0", "　", "\x1c", "<|endoftext|>", "日", "😀", "aaaa", "\u0c5c", "\U000323b0"]
 
 
 def texts():
@@ -27,6 +27,8 @@ def rank_encoder():
 def test_words_keep_the_patterns_matches():
     for t in texts():
         assert [p for w in bpe.WORD.findall(t) for p in bpe.PATTERN.findall(w)] == bpe.PATTERN.findall(t)
+        for other in (bpe.other_in_tokenizers, bpe.other_in_tiktoken):
+            assert [p for w in bpe.WORD.findall(t) for p in bpe.matches(w, other)] == bpe.matches(t, other)
         parts = list(bpe.windows(t, 10))
         assert "".join(parts) == t
         assert [p for x in parts for p in bpe.PATTERN.findall(x)] == bpe.PATTERN.findall(t)
@@ -66,7 +68,7 @@ def test_chunks_stitch_to_the_whole_split(size, overlap):
             continue
         cs = list(byte_bpe.chunks(t, size, overlap))
         found = byte_bpe.stitched([a for a, _ in cs], [p for _, p in cs], [byte_bpe.edges(p, a) for a, p in cs])
-        assert found == bpe.PATTERN.findall(t)
+        assert found == bpe.matches(t, bpe.other_in_tiktoken)
 
 
 def test_cases(spark, rank_encoder):
