@@ -1,0 +1 @@
+"""Scalars and names."""

@@ -1,0 +1 @@
+"""Operators of plans: filters and relation filters, order and limits, nesting."""

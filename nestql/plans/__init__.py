@@ -1,0 +1 @@
+"""From documents to DataFrames: language, selections, predicates, planner."""

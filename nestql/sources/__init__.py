@@ -1,0 +1 @@
+"""Sources and sinks: catalogs, the versioned store, inference of entities."""
