@@ -86,29 +86,26 @@ def usable_links(links: Iterable[ForeignKey], tables: dict[str, TableInfo]) -> l
 # -- types of databases ----------------------------------------------------------
 
 
+#: Patterns of declared types, the first that matches the whole lower-cased type counts.
+SQLITE_TYPES = (
+    ("Boolean", r"boolean|.*(tiny.*int|int.*tiny).*"),
+    ("SmallInt", r"int2|.*(small.*int|int.*small).*"),
+    ("BigInt", r"int8|.*(big.*int|int.*big).*"),
+    ("Int", r".*int.*"),
+    ("String", r".*(char|clob|text).*"),
+    ("Binary", r"|.*(blob|binary).*"),
+    ("Float", r".*(float|real).*"),
+    ("Double", r".*(double|num|dec).*"),
+    ("NaiveDateTime", r"datetime|timestamp"),
+    ("Date", r"date"),
+    ("Time", r"time"),
+)
+
+
 def sqlite_type(declared: str) -> str:
-    t = declared.lower()
-    integer = "int" in t
-    if t == "boolean" or ("tiny" in t and integer):
-        return "Boolean"
-    if t == "int2" or ("small" in t and integer):
-        return "SmallInt"
-    if t == "int8" or ("big" in t and integer):
-        return "BigInt"
-    if integer:
-        return "Int"
-    if any(x in t for x in ("char", "clob", "text")):
-        return "String"
-    if "blob" in t or "binary" in t or not t:
-        return "Binary"
-    if "float" in t or "real" in t:
-        return "Float"
-    if any(x in t for x in ("double", "num", "dec")):
-        return "Double"
-    if t in ("datetime", "timestamp"):
-        return "NaiveDateTime"
-    if t in ("date", "time"):
-        return t.capitalize()
+    for scalar, pattern in SQLITE_TYPES:
+        if re.fullmatch(pattern, declared.lower()):
+            return scalar
     raise InferenceError(f"Unsupported type: {declared}")
 
 

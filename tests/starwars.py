@@ -1,4 +1,7 @@
-"""A small fixture: heroes, their species, home worlds, friends and films."""
+"""A small fixture: heroes, their species, home worlds, friends and films.
+
+Fixed values: names, descriptions and rows are those of the expected results.
+"""
 
 from nestql.engine import Engine
 from nestql.model import Column, Entity, EnumType, HasMany, HasOne, InputField, Mutation, RootField
