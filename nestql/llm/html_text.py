@@ -68,15 +68,16 @@ class Block:
     heading: bool
 
 
-def hinted(attributes: str) -> bool:
-    """Whether class, id or role say that an element isn't content."""
+def hinted(attributes: str, in_article: bool = False) -> bool:
+    """Whether class, id or role say that an element isn't content; the header of an article is."""
     if not attributes:
         return False
     if _hidden.search(attributes):
         return True
     for m in _hints.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        if any(p.lower() in BAD_WORDS for p in _part.findall(value)):
+        found = {p.lower() for p in _part.findall(value)} & BAD_WORDS
+        if found and not (in_article and found == {"header"}):
             return True
     return False
 
@@ -146,10 +147,10 @@ def blocks(page: str) -> list[Block]:
                 while open_tags[-1][0] != name:
                     pop()
                 pop()
-        is_bad, is_good = name in BAD_TAGS or hinted(m[3]), name in GOOD_TAGS
+        is_bad, is_good = name in BAD_TAGS or hinted(m[3], good > 0), name in GOOD_TAGS
         if name in ("html", "body", "article", "main"):
             is_bad = False
-        if good and name == "header" and not hinted(m[3]):  # an article's own header holds its title
+        if good and name == "header" and not hinted(m[3], True):  # an article's own header holds its title
             is_bad = False
         bad += is_bad
         good += is_good

@@ -50,7 +50,9 @@ SLACK = 1.5
 MEMORY = 300_000
 UNKNOWN = "und"
 
-_word = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor digits, as superscripts and fractions.
+_numerals = "".join(re.escape(chr(c)) for c in range(0x20000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
+_word = re.compile(rf"[^\W\d_{_numerals}]+")
 
 
 def words_of(text: str | None) -> list[str]:

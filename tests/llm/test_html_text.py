@@ -32,7 +32,7 @@ def test_ambiguous_blocks_inherit():
 
 
 def test_articles_keep_every_block():
-    page = "<body><div class='ad'>Buy it now</div><article><h1>A</h1><p>b<p>c&nbsp;&eacute;<br>d</p><aside>no</aside><div class='comment-list'><p>no</p></div></article><footer>f</footer>"
+    page = "<body><div class='ad'>Buy it now</div><article><div class='entry-header'><h1>A</h1></div><p>b<p>c&nbsp;&eacute;<br>d</p><aside>no</aside><div class='comment-list'><p>no</p></div></article><footer>f</footer>"
     assert H.main_text(page) == "A b c é d"
 
 

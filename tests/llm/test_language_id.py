@@ -63,7 +63,7 @@ def test_held_out_accuracy_and_inputs(spark, sf_dir):
 
 def test_cases(spark):
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 40)]
-    rows += [(900, None, "en", "s"), (901, "", None, None), (902, "12 !!", "de", "s"), (None, "the dog", "en", "s"), (903, "the " * 30_000, None, "s"), (903, "the dog", None, "s"), (903, "the dog", None, "s")]
+    rows += [(900, None, "en", "s"), (901, "", None, None), (902, "12² ½ !!", "de", "s"), (None, "the dog", "en", "s"), (903, "the " * 30_000, None, "s"), (903, "the dog", None, "s"), (903, "the dog", None, "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score string")
     out = L.identify(df, L.train(df)).collect()
     assert len(out) == len(rows)
