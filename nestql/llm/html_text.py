@@ -52,7 +52,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark parts other than content.
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar notice notices cookie cookies consent gdpr alert warning popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments reply replies respond disqus widget toolbar pager pagination contentinfo complementary hidden disclaimer copyright".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|\Z)", re.S)
 _hints = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _hidden = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _part = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
@@ -117,11 +117,12 @@ def blocks(page: str) -> list[Block]:
         if m is None:
             break
         at = m.end()
-        name = m[2]
+        # the last three groups: a tag whose quotes don't pair
+        name, attributes = (m[2], m[3]) if m[2] else (m[5], m[6])
         if name is None:
             continue
         name = name.lower()
-        if m[1]:
+        if m[1] or m[4]:
             if name in BLOCK_TAGS:
                 close_block()
             if any(t[0] == name for t in open_tags):
@@ -131,13 +132,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCK_TAGS:
             close_block()
-        if name in RAW_TAGS and not m[3].endswith("/"):
+        if name in RAW_TAGS and not attributes.endswith("/"):
             if name == "head":  # its parts hold no text of the page; it may lack an end
                 continue
             close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        if name in VOID_TAGS or m[3].endswith("/"):
+        if name in VOID_TAGS or attributes.endswith("/"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and any(t[0] == name for t in open_tags[-4:]):
             scope = {"li": "ul ol menu", "td": "table tr", "th": "table tr", "tr": "table", "dt": "dl", "dd": "dl"}.get(name, "div section article main aside body")
@@ -147,10 +148,10 @@ def blocks(page: str) -> list[Block]:
                 while open_tags[-1][0] != name:
                     pop()
                 pop()
-        is_bad, is_good = name in BAD_TAGS or hinted(m[3], good > 0), name in GOOD_TAGS
+        is_bad, is_good = name in BAD_TAGS or hinted(attributes, good > 0), name in GOOD_TAGS
         if name in ("html", "body", "article", "main"):
             is_bad = False
-        if good and name == "header" and not hinted(m[3], True):  # an article's own header holds its title
+        if good and name == "header" and not hinted(attributes, True):  # an article's own header holds its title
             is_bad = False
         bad += is_bad
         good += is_good

@@ -39,6 +39,7 @@ def test_articles_keep_every_block():
 def test_broken_pages():
     for page in ("<", "<div", "a<b", "<p>one<p", "</p></div>x", "<script>never ends", "<!-- never ends", "<p title='", "&am", "<a " * 5000, "<div>" * 3000 + "x"):
         assert isinstance(H.main_text(page), str)
+    assert H.main_text("<article><p title='it's\">one</p><p>two</article>") == "one two"
     assert H.main_text(None) == "" and H.main_text("") == ""
 
 
