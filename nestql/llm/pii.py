@@ -11,8 +11,8 @@ propagation passes messages until they settle or ``ROUNDS`` are over. Words
 that base spans cover are observed with their kind; a word that the field gives
 a kind with ``CONFIDENT`` probability becomes a span if nothing covers it.
 
-Weights are fitted on a bounded sample (``SAMPLE_DOCS`` texts at most, of those
-with a candidate): unary ones by logistic regression on words whose labels are
+Weights are fitted on a bounded hash sample (about ``SAMPLE_DOCS`` texts, of those
+with digits or an @): unary ones by logistic regression on words whose labels are
 the base spans, the chain and skip ones by counts of label pairs on the links.
 
 Base spans always stay. Where the field's model can't be fitted, as no text has
@@ -303,9 +303,11 @@ def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     """Fit the field on a bounded hash sample of texts with something like personal data."""
     docs = tidy(docs, "doc_id", "text")
     likely = F.col("text").rlike(r"@|[0-9]{4}|[0-9]\.[0-9]") & (F.length("text") <= sample_chars)
+    n = docs.filter(likely).count()
     draw = F.xxhash64(F.lit(13), "doc_id", "text")
-    rows = docs.filter(likely).select("text", draw.alias("draw")).orderBy("draw").limit(sample_docs).collect()
-    return fit([r.text for r in rows])
+    share = int(min(1.0, sample_docs / max(n, 1)) * (1 << 30))
+    rows = docs.filter(likely & (F.pmod(draw, F.lit(1 << 30)) < share)).select("text", draw.alias("draw")).collect()
+    return fit([r.text for r in sorted(rows, key=lambda r: (r.draw, r.text))])
 
 
 def find_spans(docs: DataFrame, field: Field | None) -> DataFrame:
