@@ -164,3 +164,20 @@ def test_introspection(engine):
     assert {"CreateHero", "CreateHeros", "UpdateHero", "DeleteHero", "DeleteHomeWorld"} <= {f["name"] for f in out["mutationType"]["fields"]}
     assert {"HeroFilter", "Filter_Int_", "Filter_Nullable_String__", "Nullable_is_null__HomeWorldFilter", "Not_HeroFilter_", "HeroOrderBy", "HeroColumns", "HerosPrimaryKey", "Order", "DeletedCount", "Episode"} <= {t["name"] for t in out["types"]}
     assert 'home_world: HomeWorld\n' in engine.schema.sdl() and "enum Episode" in engine.schema.sdl()
+
+
+def test_filters_of_an_entitys_own(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from nestql.engine import Engine
+    from nestql.plans.predicate import Custom
+    from nestql.schema import Schema
+    from nestql.sources.catalog import FrameCatalog
+
+    starts = lambda v: Custom(lambda: F.col("name").startswith(v.value), f"starts_with(t.name, '{v.value}')")
+    hero = replace(S.HERO, extra_filters={"starts": starts})
+    e = Engine(FrameCatalog(S.frames(spark)), Schema((S.SPECIES, S.HOME_WORLD, hero, S.APPEARS_IN, S.FRIEND), ["Hero"]))
+    assert heroes(e, 'filter: {starts: "L"}') == [LUKE, LEIA]
+    assert heroes(e, 'filter: {not: {starts: "L"}, home_world: {is_null: false}}') == [VADER]
