@@ -25,7 +25,7 @@ NONE = np.iinfo(np.int32).max
 #: Bytes beyond which a string is merged by itself.
 LONG_BYTES = 4096
 #: Entries at which a worker's memory of encoded words is emptied.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Characters of a text that are split into words at one time.
 WINDOW = 1 << 20
 
@@ -54,10 +54,10 @@ class Merges:
         """base: the symbol of each byte. pairs: rows (left, right, rank, symbol)."""
         self.base = base.astype(np.int64)
         keys = pairs[:, 0] << 20 | pairs[:, 1]
-        self.bits = max(8, int(len(keys) * 8).bit_length())
+        self.bits = max(8, int(len(keys) * 2).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.rank = np.full(1 << self.bits, NONE, np.int64)
-        self.made = np.zeros(1 << self.bits, np.int64)
+        self.rank = np.full(1 << self.bits, NONE, np.int32)
+        self.made = np.zeros(1 << self.bits, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[at] == -1
@@ -173,16 +173,27 @@ def from_json(path: str) -> tuple[Merges, tuple[str, ...]]:
     return Merges(np.array([vocab[c] for c in letters]), pairs), tuple(t["content"] for t in spec.get("added_tokens", []))
 
 
-@lru_cache(maxsize=2)
-def from_ranks(path: str) -> tuple[Merges, dict[bytes, int], list[bytes]]:
-    """The merges of a rank file: any two tokens whose bytes joined are a token. Also ranks by bytes and bytes by rank."""
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pairs = [(ranks[t[:i]], ranks[t[i:]], r, r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=2)
+def from_ranks(path: str) -> tuple[Merges, dict[bytes, int]]:
+    """The merges of a rank file: any two tokens whose bytes joined are a token. Also ranks by bytes."""
+    ranks = read_ranks(path)
+    pairs = np.fromiter((x for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks for x in (ranks[t[:i]], ranks[t[i:]], r, r)), np.int64)
+    return Merges(np.array([ranks[bytes([b])] for b in range(256)]), pairs.reshape(-1, 4)), ranks
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str) -> list[bytes]:
+    """The bytes of each id of a rank file."""
+    ranks = read_ranks(path)
     words = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         words[r] = t
-    return Merges(np.array([ranks[bytes([b])] for b in range(256)]), np.array(pairs, np.int64)), ranks, words
+    return words
 
 
 def matches(text: str, other: Callable[[str], bool]) -> list[str]:

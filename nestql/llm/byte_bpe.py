@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +38,7 @@ _UID, _K, _START, _PART, _EDGES = (OWN + x for x in ("uid", "k", "start", "part"
 
 class Encoder:
     def __init__(self, path: str):
-        self.merges, self.ranks, self.words = bpe.from_ranks(path)
+        self.merges, self.ranks = bpe.from_ranks(path)
         self.known: dict[str, bytes] = {}
 
     def pieces(self, strings: list[bytes]) -> list[np.ndarray | list[int]]:
@@ -73,9 +72,10 @@ class Encoder:
         ids = [np.asarray(x, "<u4").tobytes() for x in self.pieces([p.encode("utf-8", "surrogatepass") for p in numbers])]
         return b"".join([ids[numbers[p]] for p in matches])
 
-    def decode(self, ids: bytes | None) -> bytes:
-        words = self.words
-        return b"".join([words[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
+
+def decoded(ids: bytes | None, words: list[bytes]) -> bytes:
+    """The bytes of ids, joined."""
+    return b"".join([words[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
 
 
 def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
@@ -171,6 +171,8 @@ def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, over
         frame = frame.sort_values(_K)
         found = stitched(frame[_START].tolist(), frame[_PART].tolist(), [e.tolist() for e in frame[_EDGES]])
         ids = Encoder(path).matches(found)
+        import pandas as pd
+
         return pd.DataFrame({_UID: [key[0]], "n_tokens": [len(ids) // 4], "ids": [ids]})
 
     schema = f"{_UID} long, {_K} int, {_START} long, {_PART} string"
@@ -187,8 +189,8 @@ def decode(df: DataFrame, *, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(RANKS)
 
     def start():
-        encoder = Encoder(path)
-        return lambda ids: [[encoder.decode(x) for x in ids]]
+        words = bpe.words_of(path)
+        return lambda ids: [[decoded(x, words) for x in ids]]
 
     return map_texts(df, start, "decoded binary", text="ids")
 

@@ -19,6 +19,8 @@ OWN = "__nq_"
 SLICE_ROWS = 256
 #: Characters of text that Python code holds as objects at one time (one text may exceed it alone).
 SLICE_CHARS = 4_000_000
+#: Bytes of an Arrow batch on its way between Spark and Python.
+BATCH_BYTES = 4 << 20
 #: White space of the contracts: blank and the controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,6 +109,14 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES``, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that are small enough to be held as Python objects."""
     if text is None:
@@ -134,6 +144,7 @@ def map_texts(df: DataFrame, func: Callable, added: str, *, text: str = "text",
     from pyspark.sql.types import StructType
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(added)
     carried = [c for c in (keep if keep is not None else df.columns) if c.lower() not in {f.name.lower() for f in new}]
     frame = df.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").alias(f"{OWN}text"))

@@ -47,7 +47,7 @@ CALIBRATE = 5
 #: A text is rejected beyond this factor of the highest cross-entropy in calibration.
 SLACK = 1.5
 #: Words at which a worker's memory of scored words is emptied.
-MEMORY = 300_000
+MEMORY = 150_000
 UNKNOWN = "und"
 
 #: Word characters that are neither letters nor digits, as superscripts and fractions.
