@@ -10,6 +10,15 @@ drawn from its id by a hash is below its cell's probability, so a draw repeats.
 Targets are shares for each margin; where none are given, they are the corpus's
 own shares to the power ``TEMPER``, normalised, which lifts the small ones.
 
+The cut at 1 leaves cells that should rise by more than 1 / ``KEEP`` short of the
+raked sums, and the mix nearer to the corpus than the targets are. ``calibrated``
+rakes under that bound: a cell's sum is the smaller of its bound and its own sum
+times the factors of its source, language and topic, which are set until the
+sums by margin meet the targets. A value whose documents can't fill its target
+is kept whole, and the rest of its margin shares what it leaves by their targets.
+The registered query and the pipeline don't set it: their SQL and tests hold
+them to the plain cut.
+
 Cells of up to ``MAX_CELLS`` are raked on the driver (rows of sums, not of
 documents) and broadcast; more of them are raked by joins in the shared folder.
 
@@ -35,6 +44,8 @@ KEEP = 0.8
 TEMPER = 0.7
 ROUNDS = 12
 MAX_CELLS = 100_000
+#: In calibration, the least part of its bound that a cell's sum may fall to, and the inverse of the most that it may exceed it by.
+LEAST = 1e-9
 MARGINS = ("source", "lang", "topic")
 #: A text's topic is the first of these whose marks it holds, else ``OTHER``.
 TOPICS: dict[str, tuple[str, ...]] = {
@@ -76,6 +87,35 @@ def rake(values: list[np.ndarray], sums: np.ndarray, targets: list[np.ndarray],
     return x
 
 
+def reachable(bound: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """min(bound, c * target) for each value of a margin, with c such that they sum to 1 if they can."""
+    out, open_ = np.zeros(len(target)), target > 0
+    while open_.any():
+        c = max(1 - out[~open_].sum(), 0.0) / target[open_].sum()
+        over = open_ & (c * target > bound)
+        if not over.any():
+            out[open_] = c * target[open_]
+            break
+        out[over], open_ = bound[over], open_ & ~over
+    return out
+
+
+def rake_bounded(values: list[np.ndarray], sums: np.ndarray, targets: list[np.ndarray], keep: float, rounds: int = ROUNDS) -> np.ndarray:
+    """As ``rake`` for shares of the kept tokens, none of a cell above what it has; cells at their bound may be returned above it."""
+    x = sums / max(sums.sum(), 1e-300)
+    bound = x / keep
+    goals = [reachable(np.bincount(v, weights=bound, minlength=len(t)), t) for v, t in zip(values, targets, strict=True)]
+    for _ in range(rounds):
+        for v, t in zip(values, goals, strict=True):
+            full = x >= bound
+            have = np.bincount(v, weights=np.minimum(x, bound), minlength=len(t))
+            held, free = (np.bincount(v, weights=np.where(w, y, 0.0), minlength=len(t)) for w, y in ((full, bound), (~full, x)))
+            factor = np.divide(t, have, out=np.zeros(len(t)), where=have > 0)
+            factor = np.divide(t - held, free, out=factor, where=(free > 0) & (t > held))
+            x = np.where(t[v] > 0, np.clip(x * factor[v], bound * LEAST, bound / LEAST), 0.0)
+    return x
+
+
 def probabilities(sums: np.ndarray, raked: np.ndarray, keep: float) -> np.ndarray:
     """min(1, c * weight) with c such that the expected sum is ``keep`` of all; ``keep`` where a cell has no tokens."""
     weight = np.divide(raked, sums, out=np.zeros(len(sums)), where=sums > 0)
@@ -100,7 +140,7 @@ def _shares(have: dict[str, float], given: dict[str, float] | None, temper: floa
     return {v: x / total if total > 0 else 0.0 for v, x in raw.items()}
 
 
-def _raked_here(rows: list, targets: Targets | None, keep: float, temper: float, rounds: int) -> list[tuple]:
+def _raked_here(rows: list, targets: Targets | None, keep: float, temper: float, rounds: int, calibrated: bool) -> list[tuple]:
     rows = sorted(rows, key=lambda r: (r.source, r.lang, r.topic))
     sums = np.array([float(r.tokens) for r in rows])
     values, shares = [], []
@@ -112,11 +152,30 @@ def _raked_here(rows: list, targets: Targets | None, keep: float, temper: float,
         share = _shares(dict(zip(names, have.tolist(), strict=True)), (targets or {}).get(m), temper)
         values.append(at)
         shares.append(np.array([share[v] for v in names]))
-    p = probabilities(sums, rake(values, sums, shares, rounds), keep)
+    raked = rake_bounded(values, sums, shares, keep, rounds) if calibrated else rake(values, sums, shares, rounds)
+    p = probabilities(sums, raked, keep)
     return [(r.source, r.lang, r.topic, float(x)) for r, x in zip(rows, p, strict=True)]
 
 
-def _raked_there(cells: DataFrame, targets: Targets | None, keep: float, temper: float, rounds: int) -> DataFrame:
+def _reachable_there(goals: DataFrame) -> DataFrame:
+    """``goals`` (goal, have as share of the kept tokens) as ``reachable`` has them."""
+    # the factor of its goal that a value's documents fill; values of smaller ones are kept whole
+    goals = goals.withColumn("most", F.when(F.col("goal") > 0, F.col("have") / F.col("goal")).otherwise(float("inf")))
+    limit, c = -1.0, 1.0
+    while True:
+        full = F.col("most") <= limit
+        r = goals.agg(F.sum(F.when(full, F.col("have")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("goal"))).alias("open")).first()
+        if not r.open or r.open <= 0:
+            break
+        c = max(1 - r.full, 0.0) / r.open
+        more = goals.filter((F.col("most") > limit) & (F.col("most") < c)).agg(F.max("most")).first()[0]
+        if more is None:
+            break
+        limit = more
+    return goals.withColumn("goal", F.when(F.col("most") <= limit, F.col("have")).otherwise(F.col("goal") * c)).drop("most")
+
+
+def _raked_there(cells: DataFrame, targets: Targets | None, keep: float, temper: float, rounds: int, calibrated: bool) -> DataFrame:
     """As ``_raked_here``, by joins; for cells without a bound."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -125,14 +184,26 @@ def _raked_there(cells: DataFrame, targets: Targets | None, keep: float, temper:
         have = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("have"))
         given = (targets or {}).get(m)
         if given is not None:
-            want = have.join(spark.createDataFrame(list(given.items()), f"{m} string, raw double"), m, "left").select(m, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+            want = have.join(spark.createDataFrame(list(given.items()), f"{m} string, raw double"), m, "left").select(m, "have", F.coalesce("raw", F.lit(0.0)).alias("raw"))
         else:
-            want = have.select(m, F.when(F.col("have") > 0, F.pow("have", F.lit(temper))).otherwise(0.0).alias("raw"))
+            want = have.select(m, "have", F.when(F.col("have") > 0, F.pow("have", F.lit(temper))).otherwise(0.0).alias("raw"))
         want = written(want, "goal")
-        goals[m] = written(want.withColumn("goal", F.col("raw") / F.lit(want.agg(F.sum("raw")).first()[0] or 1.0)).select(m, "goal"), "goal")
+        want = want.withColumn("goal", F.col("raw") / F.lit(want.agg(F.sum("raw")).first()[0] or 1.0))
+        if calibrated:
+            want = _reachable_there(written(want.withColumn("have", F.col("have") / F.lit(keep * max(total, 1))), "goal"))
+        goals[m] = written(want.select(m, "goal"), "goal")
     x = cells.withColumn("x", F.col("tokens") / F.lit(float(max(total, 1))))
+    bound = F.col("tokens") / F.lit(float(max(total, 1))) / F.lit(keep)
+    full = F.col("x") >= bound
     for _ in range(rounds):
         for m in MARGINS:
+            if calibrated:
+                by = x.groupBy(m).agg(F.sum(F.when(full, bound).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("x"))).alias("free")).join(goals[m], m)
+                have = F.col("held") + F.col("free")
+                step = F.when((F.col("free") > 0) & (F.col("goal") > F.col("held")), (F.col("goal") - F.col("held")) / F.col("free")).when(have > 0, F.col("goal") / have).otherwise(0.0)
+                factor = written(by.select(m, step.alias("factor"), "goal"), "factor")
+                x = x.join(factor, m).withColumn("x", F.when(F.col("goal") > 0, F.least(F.greatest(F.col("x") * F.col("factor"), bound * LEAST), bound / LEAST)).otherwise(0.0)).drop("factor", "goal")
+                continue
             factor = written(x.groupBy(m).agg(F.sum("x").alias("have")).join(goals[m], m).select(m, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("factor")), "factor")
             x = x.join(factor, m).withColumn("x", F.col("x") * F.col("factor")).drop("factor")
         x = written(x, "raked")
@@ -152,7 +223,7 @@ def _raked_there(cells: DataFrame, targets: Targets | None, keep: float, temper:
     return x.select(*MARGINS, p.alias("prob"))
 
 
-def mix(docs: DataFrame, *, targets: Targets | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, topics: dict[str, tuple[str, ...]] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(docs: DataFrame, *, targets: Targets | None = None, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, topics: dict[str, tuple[str, ...]] | None = None, max_cells: int = MAX_CELLS, calibrated: bool = False) -> DataFrame:
     """``docs`` with ``topic``, ``n_tokens``, ``prob`` and ``kept``."""
     spark = docs.sparkSession
     docs = tidy(docs, "doc_id", "text", "source", "lang")
@@ -163,10 +234,10 @@ def mix(docs: DataFrame, *, targets: Targets | None = None, keep: float = KEEP,
     key = [F.col(OWN + m) for m in MARGINS]
     few = cells.limit(max_cells + 1).collect()
     if len(few) <= max_cells:
-        made = spark.createDataFrame(_raked_here(few, targets, keep, temper, rounds), "source string, lang string, topic string, prob double")
+        made = spark.createDataFrame(_raked_here(few, targets, keep, temper, rounds, calibrated), "source string, lang string, topic string, prob double")
         made = F.broadcast(made)  # bounded by max_cells
     else:
-        made = _raked_there(cells, targets, keep, temper, rounds)
+        made = _raked_there(cells, targets, keep, temper, rounds, calibrated)
     made = made.select(*[F.col(m).alias(OWN + m) for m in MARGINS], F.col("prob").alias(OWN + "prob"))
     wide = docs.select("*", own["topic"].alias(OWN + "t"), tokens_of(text).alias(OWN + "n"))
     match = (key[0] == own["source"]) & (key[1] == own["lang"]) & (key[2] == F.col(OWN + "t"))

@@ -64,3 +64,34 @@ def test_query_matches_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = con.execute(M.SQL["op7_mixing"]).df()
     assert sorted(map(tuple, out[sorted(out)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
+
+
+@pytest.mark.parametrize("max_cells", [M.MAX_CELLS, 1])
+def test_calibrated_shares_meet_the_targets(spark, max_cells):
+    rows = [(i, "w " * (5 + i % 11), "big" if i % 10 else f"s{i % 3}", "en" if i % 7 else "de") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    goal = {"source": {"big": 0.8, "s0": 0.08, "s1": 0.07, "s2": 0.05}, "lang": {"en": 0.6, "de": 0.4}}
+
+    def shares(out, weight, margin):
+        all_ = sum(weight(r) for r in out)
+        return {v: sum(weight(r) for r in out if r[margin] == v) / all_ for v in goal[margin]}
+
+    def missed(weight, out):
+        return max(abs(x - goal[m][v]) for m in goal for v, x in shares(out, weight, m).items())
+
+    expected, drawn = lambda r: r.prob * r.n_tokens, lambda r: r.kept * r.n_tokens
+    out = M.mix(df, targets=goal, keep=0.34, max_cells=max_cells, calibrated=True).collect()
+    assert missed(expected, out) < 1e-3 and missed(drawn, out) < 0.02 and max(r.prob for r in out) == 1
+    assert np.isclose(sum(map(expected, out)), 0.34 * sum(r.n_tokens for r in out))
+    plain = M.mix(df, targets=goal, keep=0.34, max_cells=max_cells).collect()
+    assert missed(expected, plain) > 0.005
+
+
+def test_unreachable_targets_are_filled_as_far_as_they_go(spark):
+    sums = np.array([90.0, 6.0, 4.0])
+    at, one = np.arange(3), np.zeros(3, np.int64)
+    p = M.probabilities(sums, M.rake_bounded([at, one, one], sums, [np.array([0.5, 0.4, 0.1]), np.ones(1), np.ones(1)], 0.5), 0.5)
+    # of 50 tokens 20 are wanted of the second, which has 6; the others share 44 as 5 to 1, but the third has 4
+    assert np.allclose(p * sums, [40, 6, 4])
+    few = M.reachable(np.array([0.1, 2.0, 2.0, 1.0]), np.array([0.5, 0.4, 0.1, 0.0]))
+    assert np.allclose(few, [0.1, 0.72, 0.18, 0])
