@@ -3,12 +3,23 @@
 A page is cut at block-level tags into blocks of text. Pass one decides blocks:
 a block in a part of the page whose tag or class says that it isn't content
 (menu, header, footer, sidebar, notice, advert, form, reader comment) is bad; so
-is one that is mostly links. A block in an article or main part that isn't bad
-is good. Elsewhere length, the density of stop words and the density of links
-classify: long blocks with many stop words are good, with few bad; short ones
-stay ambiguous. Pass two gives ambiguous blocks the label of the nearest decided
-neighbours: both alike, or the nearer of the two, a tie going to the
-one after it for a heading and to bad otherwise.
+is one that is mostly links, but for short ones in an article or main part.
+Otherwise length and the density of stop words classify: blocks with many stop
+words are good, long ones with few are bad, long ones between are good; shorter
+ones without many, and headings, stay ambiguous. In an article or main part
+the tag makes up for few stop words: blocks that aren't short are good, long
+ones with few stop words ambiguous.
+Where less than half of the text in blocks that aren't short or linked has
+many stop words, the page's language counts as unknown, and all those blocks
+are good.
+
+Pass two gives ambiguous blocks the label of decided neighbours. In an article
+or main part only blocks of such parts count: an ambiguous block is good unless
+the next ones on both sides are bad; one that is linked or long, unless one of
+them is.
+Elsewhere the nearest on each side count: both alike, or the nearer of the two,
+a tie going to the one after it for a heading and to bad otherwise. On a page
+without a good block all ambiguous ones are kept.
 
 Character references are decoded, white space inside a block becomes one blank,
 and good blocks are joined in page order by one blank.
@@ -167,27 +178,45 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Whether each block belongs to the main text."""
+def decided(found: list[Block]) -> list[bool | None]:
+    """Pass one, and the ambiguous blocks of articles."""
+    linked = [b.link_chars > MAX_LINKS * len(b.text) for b in found]
+    told = [None if b.bad or x or len(b.text) < SHORT else stop_density(b.text) for b, x in zip(found, linked, strict=True)]
+    chars = sum(len(b.text) for b, d in zip(found, told, strict=True) if d is not None)
+    known = 2 * sum(len(b.text) for b, d in zip(found, told, strict=True) if d is not None and d >= STOP_HIGH) >= chars
     first: list[bool | None] = []
-    for b in found:
-        linked = b.link_chars > MAX_LINKS * len(b.text)
+    for b, link, density in zip(found, linked, told, strict=True):
         if b.bad:
             first.append(False)
-        elif b.good:
-            first.append(not linked or None)
-        elif linked:
-            first.append(False)
-        elif b.heading or len(b.text) < SHORT:
+        elif link:
+            first.append(None if b.good and len(b.text) < SHORT else False)
+        elif density is None or b.heading:
+            first.append(None)
+        elif not known or density >= STOP_HIGH or b.good and (density >= STOP_LOW or len(b.text) < LONG):
+            first.append(True)
+        elif len(b.text) < LONG:
             first.append(None)
         else:
-            density = stop_density(b.text)
-            if density >= STOP_HIGH:
-                first.append(True)
-            elif density < STOP_LOW and len(b.text) >= LONG:
-                first.append(False)
-            else:
-                first.append(True if len(b.text) >= LONG else None)
+            first.append(True if density >= STOP_LOW else None if b.good else False)
+    inside = [i for i, b in enumerate(found) if b.good and not b.bad]
+    before: list[bool | None] = [None] * len(found)
+    after = list(before)
+    for order, near in ((inside, before), (inside[::-1], after)):
+        last = None
+        for i in order:
+            near[i] = last
+            last = last if first[i] is None else first[i]
+    for i in inside:
+        if first[i] is None:
+            doubtful = linked[i] or (told[i] is not None and not found[i].heading)
+            sides = (before[i] is not False, after[i] is not False)
+            first[i] = all(sides) if doubtful else any(sides)
+    return first
+
+
+def labels(found: list[Block], first: list[bool | None] | None = None) -> list[bool]:
+    """Whether each block belongs to the main text."""
+    first = decided(found) if first is None else first
     n = len(first)
     before: list[int] = [-1] * n
     after: list[int] = [n] * n
@@ -216,7 +245,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return " ".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
+    first = decided(found)
+    keep = labels(found, first) if True in first else [x is None for x in first]
+    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, *, html_column: str = "html") -> DataFrame:

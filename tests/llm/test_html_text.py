@@ -61,3 +61,25 @@ def test_query_keeps_the_articles(spark, sf_dir):
         want = re.sub(r"</?(?:p|h1|br)>", "\n", article)
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", "", want)).split())
         assert text == want and n == len(want)
+
+
+def test_densities_decide_in_articles_too():
+    tags = "Berlin Hamburg Munich Cologne Frankfurt Stuttgart Leipzig Dresden Hanover Nuremberg Bremen " * 3
+    links = "".join(f"<a href='{i}'>Another story {i}</a> " for i in range(9))
+    page = f"<article><h1>A</h1><p>{LONG * 4}</p><p>Short one.</p><p>{LONG}</p><div>{links}</div><p>{tags}</p><p>More:</p><div>{links}</div></article>"
+    assert H.main_text(page) == " ".join(f"A {LONG * 4} Short one. {LONG}".split())
+    # few stop words alone don't reject a block among good ones
+    assert H.main_text(f"<main><p>{LONG * 4}</p><p>{tags}</p></main>") == " ".join(f"{LONG * 4} {tags}".split())
+
+
+def test_undecided_pages_keep_their_blocks():
+    assert H.main_text("<nav>Home</nav><h1>Title</h1><p>Short one.</p><p>Short two.</p><footer>F</footer>") == "Title Short one. Short two."
+    assert H.main_text("<p>Short one.</p>") == "Short one."
+    assert H.main_text("<nav>Home</nav><p><a href='1'>Link</a></p>") == ""
+
+
+def test_unknown_languages_are_not_rejected():
+    text = "Litwo ojczyzno moja jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie panno święta co jasnej bronisz Częstochowy"
+    assert len(text) >= H.LONG and H.stop_density(text) < H.STOP_LOW
+    for part in ("div", "article"):
+        assert H.main_text(f"<header>S</header><{part}><p>{text}</p><p>{text[:120]}</p></{part}><footer>F</footer>") == f"{text} {text[:120].strip()}"
