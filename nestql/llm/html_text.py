@@ -9,6 +9,11 @@ words are good, long ones with few are bad, long ones between are good; shorter
 ones without many, and headings, stay ambiguous. In an article or main part
 the tag makes up for few stop words: blocks that aren't short are good, long
 ones with few stop words ambiguous.
+An article or main part outside other articles clears the mark of wrappers around
+it, by class, id or role or as a form, unless articles without such a wrapper
+hold as much text; it doesn't clear that of hidden parts and of other tags. Names
+such as has-sidebar or no-ads mark nothing, and broad words (search, share, side)
+only alone or with words for parts of a page (search-box, not search-result).
 Where less than half of the text in blocks that aren't short or linked has
 many stop words, the page's language counts as unknown, and all those blocks
 are good.
@@ -63,6 +68,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that mark parts other than content.
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead topbar notice notices cookie cookies consent gdpr alert warning popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments reply replies respond disqus widget toolbar pager pagination contentinfo complementary hidden disclaimer copyright".split())
 
+#: Of these, words that mark a part only alone or with words for parts of a page.
+BROAD_WORDS = frozenset("alert hidden related search share side".split())
+PART_WORDS = frozenset("and articles bar block blocks box btn button buttons container content field form group icon icons input inner is item items left link links list module news panel pages posts products reading right section slot stories text this tools top topics bottom unit visually widget wrap wrapper zone".split())
+#: A name that holds one of these before such a word says how a part is laid out beside others, or that it is missing.
+LAYOUT_WORDS = frozenset("has have no non not with without".split())
+#: Bad by their meaning; a form may be around a whole page.
+WRAPPERS = frozenset(["form"])
+
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>]*)(?:>|\Z)", re.S)
 _hints = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _hidden = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -77,6 +90,20 @@ class Block:
     bad: bool
     good: bool
     heading: bool
+    #: In an article or main part below a wrapper that is marked as no content.
+    wrapped: bool = False
+
+
+def marks(name: str) -> set[str]:
+    """The words of one name that mark a part other than content."""
+    words = [p.lower() for p in _part.findall(name)]
+    out = set()
+    for i, w in enumerate(words):
+        if w not in BAD_WORDS or LAYOUT_WORDS.intersection(words[:i]):
+            continue
+        if w not in BROAD_WORDS or all(x in BAD_WORDS or x in PART_WORDS for x in words):
+            out.add(w)
+    return out
 
 
 def hinted(attributes: str, in_article: bool = False) -> bool:
@@ -86,8 +113,7 @@ def hinted(attributes: str, in_article: bool = False) -> bool:
     if _hidden.search(attributes):
         return True
     for m in _hints.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        found = {p.lower() for p in _part.findall(value)} & BAD_WORDS
+        found = {w for name in (m[1] or m[2] or m[3] or "").split() for w in marks(name)}
         if found and not (in_article and found == {"header"}):
             return True
     return False
@@ -96,8 +122,9 @@ def hinted(attributes: str, in_article: bool = False) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, bad by itself, good by itself
-    bad = good = links = heads = 0
+    # name, bad by itself, a wrapper or hint that an article below it clears, good by itself, marks cleared outside it
+    open_tags: list[tuple[str, bool, bool, bool, int]] = []
+    bad = soft = cleared = good = links = heads = 0
     text: list[str] = []
     in_links: list[str] = []
 
@@ -105,14 +132,15 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             linked = " ".join(html.unescape("".join(in_links)).split())
-            out.append(Block(joined, len(linked), bad > 0, good > 0, heads > 0))
+            out.append(Block(joined, len(linked), bad > 0 or soft > cleared, good > 0, heads > 0, cleared > 0))
         text.clear()
         in_links.clear()
 
     def pop() -> None:
-        nonlocal bad, good, links, heads
-        name, was_bad, was_good = open_tags.pop()
+        nonlocal bad, soft, cleared, good, links, heads
+        name, was_bad, was_soft, was_good, cleared = open_tags.pop()
         bad -= was_bad
+        soft -= was_soft
         good -= was_good
         links -= name == "a"
         heads -= name in HEADINGS
@@ -159,17 +187,28 @@ def blocks(page: str) -> list[Block]:
                 while open_tags[-1][0] != name:
                     pop()
                 pop()
-        is_bad, is_good = name in BAD_TAGS or hinted(attributes, good > 0), name in GOOD_TAGS
+        hint, is_good = hinted(attributes, good > 0), name in GOOD_TAGS
+        is_bad = name in BAD_TAGS - WRAPPERS or hint and bool(_hidden.search(attributes))
+        is_soft = not is_bad and (hint or name in WRAPPERS)
         if name in ("html", "body", "article", "main"):
-            is_bad = False
+            is_bad = is_soft = False
         if good and name == "header" and not hinted(attributes, True):  # an article's own header holds its title
             is_bad = False
+        outside = cleared
+        # articles in an article's marked parts are reader comments and the like; a main part may hold marked wrappers
+        if is_good and not hint and not any(t[0] == "article" for t in open_tags):
+            cleared = soft
         bad += is_bad
+        soft += is_soft
         good += is_good
         links += name == "a"
         heads += name in HEADINGS
-        open_tags.append((name, is_bad, is_good))
+        open_tags.append((name, is_bad, is_soft, is_good, outside))
     close_block()
+    plain, wrapped = (sum(len(b.text) for b in out if b.good and not b.bad and b.wrapped == w) for w in (False, True))
+    if wrapped <= plain:  # teasers and comments beside the main text
+        for b in out:
+            b.bad |= b.wrapped
     return out
 
 

@@ -83,3 +83,22 @@ def test_unknown_languages_are_not_rejected():
     assert len(text) >= H.LONG and H.stop_density(text) < H.STOP_LOW
     for part in ("div", "article"):
         assert H.main_text(f"<header>S</header><{part}><p>{text}</p><p>{text[:120]}</p></{part}><footer>F</footer>") == f"{text} {text[:120].strip()}"
+
+
+def test_articles_clear_marks_of_their_wrappers():
+    article = f"<article><h1>A</h1><p>{LONG}</p></article>"
+    want = f"A {LONG}".strip()
+    wrappers = ["<div class='has-sidebar'>", "<div class='no-sidebar'>", "<div id='page' class='with-header'>", "<section class='search-result'>", "<form action='x'>", "<div class='sidebar'>", "<main><form>", "<div id='share'><div class='content'>"]
+    for w in wrappers:
+        assert H.main_text(f"<body>{w}{article}</body>") == want, w
+    assert H.main_text(f"<div class='has-sidebar'><p>{LONG}</p></div>") == LONG.strip()
+    for w in ("<aside>", "<nav>", "<div hidden>", "<div style='display:none'>"):
+        assert H.main_text(f"<body>{w}{article}</body>") == "", w
+
+
+def test_marked_parts_beside_and_in_articles_stay_bad():
+    article = f"<article><h1>A</h1><p>{LONG * 2}</p><div class='ad'>Buy</div><div class='search-box'>Go</div><section id='comments'><article class='comment'><p>{LONG}</p></article><article><p>{LONG}</p></article></section></article>"
+    teaser = f"<div class='related-posts'><article><p>{LONG}</p></article></div>"
+    want = f"A {LONG * 2}".strip()
+    for page in (article + teaser, teaser + article, f"<div class='sidebar'>{article}</div>", f"<form>{article}</form>"):
+        assert H.main_text(page) == want
