@@ -115,20 +115,30 @@ class Mutations:
             self.store.commit(changes)
         return n
 
-    def _cascade(self, entity: Entity, gone: DataFrame, changes: dict[str, DataFrame], depth: int = 0) -> None:
-        """Rows that hold a deleted key go with it, level by level."""
-        for f in entity.fields:
-            if not isinstance(f, HasMany) or f.on_delete != "cascade":
-                continue
-            child = self.entities[f.target]
-            keys = gone.select(F.col(f"`{entity.primary_key[0]}`").alias("__nql_gone")).distinct()
-            table = changes.get(child.table)
-            table = self.store.table(child.table) if table is None else table
-            match = F.col(f"`{f.fk}`") == F.col("__nql_gone")
-            lost = table.join(keys, match, "left_semi")
-            changes[child.table] = table.join(keys, match, "left_anti")
-            if depth < 16 and any(isinstance(g, HasMany) and g.on_delete for g in child.fields):
-                self._cascade(child, lost, changes, depth + 1)
+    def _cascade(self, entity: Entity, gone: DataFrame, changes: dict[str, DataFrame]) -> None:
+        """Rows that hold a deleted key go with it, level by level until a level has none; a cycle ends as its rows are gone."""
+        todo, levels = [(entity, gone)], 0
+        while todo:
+            entity, gone = todo.pop(0)
+            for f in entity.fields:
+                if not isinstance(f, HasMany) or f.on_delete != "cascade":
+                    continue
+                child = self.entities[f.target]
+                keys = gone.select(F.col(f"`{entity.primary_key[0]}`").alias("__nql_gone")).distinct()
+                table = changes.get(child.table)
+                table = self.store.table(child.table) if table is None else table
+                match = F.col(f"`{f.fk}`") == F.col("__nql_gone")
+                lost = table.join(keys, match, "left_semi")
+                changes[child.table] = table.join(keys, match, "left_anti")
+                if not any(isinstance(g, HasMany) and g.on_delete == "cascade" for g in child.fields):
+                    continue
+                # plans of deep levels would hold those of all levels above
+                lost = lost.select(F.col(f"`{child.primary_key[0]}`")).distinct().localCheckpoint()
+                if lost.limit(1).count():
+                    levels += 1
+                    if levels % 8 == 0:
+                        changes[child.table] = changes[child.table].localCheckpoint()
+                    todo.append((child, lost))
 
 
 def reload_predicate(entity: Entity, keys: list[dict[str, Any]]) -> Any:

@@ -93,3 +93,18 @@ def test_handlers(spark):
     e = Engine(FrameCatalog(S.frames(spark)), Schema((S.SPECIES, S.HOME_WORLD, S.HERO, S.APPEARS_IN, S.FRIEND), ["Hero"], (m,)))
     assert e.execute('mutation { CreateHero(NewHero: {name: "x", species: 1}) { heroName } }')["data"]["CreateHero"] == {"heroName": "Darth Vader"}
     assert e.execute("mutation { DeleteHero(DeleteHero: {id: 1}) { count } }")["data"]["DeleteHero"] == {"count": 99}
+
+
+def test_cascades_have_no_deepest_level(spark):
+    from nestql.engine import Engine
+    from nestql.model import Column, Entity, HasMany, HasOne, Mutation, RootField
+    from nestql.schema import Schema
+    from nestql.sources.catalog import FrameCatalog
+
+    note = Entity("Note", "notes", (Column("id", "Int"), HasOne("parent", "Note", nullable=True), HasMany("replies", "Note", "parent", on_delete="cascade")))
+    # a thread of 21 levels, a cycle, and one note apart
+    rows = [(0, None), *[(i, i - 1) for i in range(1, 21)], (30, 32), (31, 30), (32, 31), (40, None)]
+    e = Engine(FrameCatalog({"notes": spark.createDataFrame(rows, "id int, parent int").coalesce(1)}), Schema((note,), [RootField("Note")], (Mutation("Note"),)))
+    for key, left in ((0, [30, 31, 32, 40]), (31, [40])):
+        assert e.execute(f"mutation {{ DeleteNote(DeleteNote: {{id: {key}}}) {{ count }} }}") == {"data": {"DeleteNote": {"count": 1}}}
+        assert [n["id"] for n in e.execute("{ Notes(order: [{column: id}]) { id } }")["data"]["Notes"]] == left
