@@ -14,8 +14,11 @@ curve from the margin to the second language gives ``score``; the highest
 cross-entropy that is usual for a language gives its limit of rejection.
 
 The classifier is fitted on a bounded sample: of each language about
-``SAMPLE_DOCS`` documents, whole texts, chosen by a hash of their id among those
-of at most ``SAMPLE_CHARS`` characters. Predictions use whole texts of any length.
+``SAMPLE_DOCS`` different documents, whole texts, chosen by a hash of their id, and
+of these as many as hold ``LANGUAGE_CHARS`` characters together, those of at most
+``SAMPLE_CHARS`` first. Only a language all of whose texts are longer than
+``LANGUAGE_CHARS`` isn't learned. More than ``MAX_LANGUAGES`` languages are an
+error. Predictions use whole texts of any length.
 
 Defined cases: ``und`` with score 0 for a text that is null or has no letter,
 and for every text if there is nothing to learn from; a null ``doc_id`` is not
@@ -32,7 +35,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestql.llm.common import OWN, map_texts, table, tidy, with_outputs
@@ -40,23 +43,28 @@ from nestql.llm.common import OWN, map_texts, table, tidy, with_outputs
 ORDER = 5
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
-#: Languages that are learned at most: those with the most documents.
-MAX_LANGUAGES = 200
+#: Characters of the sample in one language, at most.
+LANGUAGE_CHARS = 4_000_000
+#: Languages beyond which training is refused: models have a column for each.
+MAX_LANGUAGES = 500
 #: Of the sample, one document in so many calibrates.
 CALIBRATE = 5
 #: A text is rejected beyond this factor of the highest cross-entropy in calibration.
 SLACK = 1.5
-#: Words at which a worker's memory of scored words is emptied.
-MEMORY = 150_000
+#: Words in either half of a worker's memory of scored words: the older half goes when the newer is full.
+MEMORY = 200_000
 UNKNOWN = "und"
 
-#: Word characters that are neither letters nor digits, as superscripts and fractions.
-_numerals = "".join(re.escape(chr(c)) for c in range(0x20000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
-_word = re.compile(rf"[^\W\d_{_numerals}]+")
+_word = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _word.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased."""
+    found = _word.findall(text.lower()) if text else []
+    if not found or "".join(found).isalpha():
+        return found
+    # superscripts, fractions and the like are neither digits to the pattern nor letters
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split(" ")) if p]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,6 +101,8 @@ class Model:
     floor: np.ndarray
     curve: tuple[float, float] = (1.0, 0.0)
     limits: np.ndarray | None = None
+    #: A worker's own, never shipped.
+    scorer: Scorer | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The negative log-probability of each word in each language."""
@@ -188,19 +198,25 @@ def fit_counts(counts: dict[str, Counter], order: int = ORDER) -> Model:
 
 
 class Scorer:
-    """Cross-entropies of texts, with a memory of the words that a worker has met."""
+    """Cross-entropies of texts, with a memory of the words that a worker has met lately."""
 
     def __init__(self, model: Model):
-        self.model, self.at = model, {}
-        self.rows = np.zeros((0, len(model.languages)))
+        self.model = model
+        #: Newer and older words: their rows, each half with the scores of its own.
+        self.at: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.rows = self.old_rows = np.zeros((0, len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.at.keys()
-        if len(self.at) + len(new) > MEMORY:
-            self.at, self.rows, new = {}, self.rows[:0], words
-        order = list(new)
-        parts = [self.rows] + [self.model.word_scores(order[i : i + 20_000]) for i in range(0, len(order), 20_000)]
-        self.at |= {w: i for i, w in enumerate(order, len(self.rows))}
+        new = list(words - self.at.keys())
+        if self.at and len(self.at) + len(new) > MEMORY:
+            self.old, self.old_rows = self.at, self.rows
+            self.at, self.rows, new = {}, self.rows[:0], list(words)
+        again = [w for w in new if w in self.old]
+        unmet = [w for w in new if w not in self.old]
+        parts = [self.rows, self.old_rows[[self.old[w] for w in again]]]
+        parts += [self.model.word_scores(unmet[i : i + 20_000]) for i in range(0, len(unmet), 20_000)]
+        self.at |= {w: i for i, w in enumerate(again + unmet, len(self.rows))}
         self.rows = np.concatenate(parts)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,21 +272,31 @@ def calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
             model.limits[k] = SLACK * max(own)
 
 
-def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, order: int = ORDER) -> Model | None:
-    """Fit a model on a bounded hash sample of the documents that aren't held out."""
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, language_chars: int = LANGUAGE_CHARS) -> list[Row]:
+    """The labelled rows (doc_id, text, lang) that ``train`` learns from."""
     docs = tidy(docs, "doc_id", "text", "lang").select("doc_id", "text", "lang")
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = known.filter(F.length("text") <= language_chars)
+    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"More than {MAX_LANGUAGES} languages")
     if not sizes:
-        return None
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_docs / r["count"]))).otherwise(share)
-    rows = known.filter((draw < share) & (F.length("text") <= sample_chars)).collect()
+        return []
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_docs / r["count"])) for r in sizes], f"lang string, {OWN}share double")
+    draw, long = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)), F.length("text") > sample_chars
+    drawn = known.join(F.broadcast(shares), "lang").filter(draw / F.lit(float(1 << 30)) < F.col(OWN + "share"))
+    # rows that repeat have one draw; what is left is bounded before it meets in a window
+    drawn = drawn.select("doc_id", "text", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(long, draw, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    kept = drawn.withColumn(OWN + "chars", F.sum(F.length("text")).over(order)).filter(F.col(OWN + "chars") <= language_chars)
+    return sorted(kept.select("doc_id", "text", "lang").collect(), key=lambda r: (r.doc_id, r.text, r.lang))
+
+
+def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, language_chars: int = LANGUAGE_CHARS, order: int = ORDER) -> Model | None:
+    """Fit a model on a bounded hash sample of the documents that aren't held out."""
     counts: dict[str, Counter] = {}
     later: list[tuple[str, str]] = []
-    for r in sorted(rows, key=lambda r: r.doc_id):
+    for r in sample(docs, sample_docs, sample_chars, language_chars):
         if hash_of(r.doc_id) % CALIBRATE == 0:
             later.append((r.text, r.lang))
         else:
@@ -296,8 +322,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def start():
-        scorer = Scorer(shared.value)
-        m = scorer.model
+        m = shared.value  # one object for all tasks of a worker, and so one memory
+        if m.scorer is None:
+            m.scorer = Scorer(m)
+        scorer = m.scorer
         (a, b), limits = m.curve, m.limits
 
         def run(texts):

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from nestql.llm import language_id as L
 
@@ -74,3 +75,99 @@ def test_cases(spark):
     assert L.identify(df.limit(0), L.train(df)).collect() == []
     assert L.train(df.limit(0)) is None
     assert {r.lang_pred for r in L.identify(df, None).collect()} == {"und"}
+
+
+def quick_brute(counts: Counter, order: int, vocabulary: int):
+    """As ``brute_model``, with the followers of each context looked up."""
+    raw = [Counter() for _ in range(order + 1)]
+    for w, k in counts.items():
+        s = f"\x02{w}\x03"
+        for n in range(1, order + 1):
+            for i in range(max(n - 1, 1), len(s)):
+                raw[n][s[i - n + 1 : i + 1]] += k
+    levels = []
+    for n in range(1, order + 1):
+        before = Counter(g[1:] for g in raw[n + 1]) if n < order else None
+        c = {g: k if before is None or (n > 1 and g[0] == "\x02") else before.get(g, 0) or (k if g[0] == "\x02" else 0) for g, k in raw[n].items()}
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        total, kinds = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += v > 0
+        levels.append((c, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, total, kinds))
+
+    def prob(gram):
+        p = 1.0 / (vocabulary + 1)
+        for n in range(1, len(gram) + 1):
+            g = gram[len(gram) - n :]
+            c, d, total, kinds = levels[n - 1]
+            if total[g[:-1]]:
+                p = max(c.get(g, 0) - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * p
+        return p
+
+    return prob
+
+
+def test_query_matches_brute_force(spark, sf_dir):
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = frame.toPandas()
+    known = docs[docs.lang.notna() & docs.text.notna() & (docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3) != 1)]
+    assert len(known) < L.SAMPLE_DOCS and len(L.sample(frame)) == len(known)  # all of them are learned from
+
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in text.lower()).split(" ")
+
+    counts = {}
+    for i, t, lang in zip(known.doc_id, known.text, known.lang):
+        if L.hash_of(i) % L.CALIBRATE:
+            counts.setdefault(lang, Counter()).update(w for w in words(t) if w)
+    vocabulary = len({c for per in counts.values() for w in per for c in w} | {"\x03"})
+    probs = {lang: quick_brute(c, L.ORDER, vocabulary) for lang, c in counts.items()}
+    met: dict = {}
+
+    def nats(lang, w):
+        if (lang, w) not in met:
+            s = f"\x02{w}\x03"
+            met[lang, w] = -sum(np.log(probs[lang](s[max(0, i - L.ORDER + 1) : i + 1])) for i in range(1, len(s)))
+        return met[lang, w]
+
+    out = L.op9_language_id(spark, sf_dir).toPandas().set_index("doc_id").loc[docs.doc_id]
+    for t, r in zip(docs.text, out.itertuples()):
+        own = [w for w in words(t or "") if w]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        h = {lang: sum(nats(lang, w) for w in own) / (sum(map(len, own)) + len(own)) for lang in probs}
+        assert abs(r.cross_entropy - min(h.values())) < 1e-4
+        low = sorted(h.values())
+        assert low[1] - low[0] < 1e-4 or r.lang_pred == min(h, key=h.get)
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, "the dog", "en")] * 500 + [(i, "der Hund " * (1 + i % 5), "de") for i in range(2, 400)] + [(i, "le chien " * 400, "fr") for i in range(400, 403)] + [(900, "x" * 9000, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.sample(df, sample_docs=50, sample_chars=100, language_chars=4000)
+    by = Counter(r.lang for r in got)
+    assert by["en"] <= 1 and 10 < by["de"] < 120 and by["fr"] == 1 and "xx" not in by
+    for lang in by:
+        assert sum(len(r.text) for r in got if r.lang == lang) <= 4000
+    many = spark.range(L.MAX_LANGUAGES * 3).selectExpr("id as doc_id", "'a' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        L.sample(many)
+
+
+def test_memory_keeps_the_words_it_met_last(monkeypatch):
+    counts = {"x": Counter({"abab": 3, "abc": 2, "ca": 1}), "y": Counter({"cab": 2, "dd": 1})}
+    model = L.fit_counts(counts, order=3)
+    texts = [f"abab word{i % 7} {'x' * (i % 13)} ca" for i in range(100)]
+    want, _ = L.Scorer(model).entropies(texts)
+    monkeypatch.setattr(L, "MEMORY", 9)
+    scorer = L.Scorer(model)
+    for i, t in enumerate(texts):
+        assert np.allclose(scorer.entropies([t])[0][0], want[i])
+        assert len(scorer.at) <= 9 and len(scorer.old) <= 9
+
+
+def test_words_are_runs_of_letters():
+    assert L.words_of("It's 12² ab²c ½x _d١e Ⅷ ÉTÉ") == ["it", "s", "ab", "c", "x", "d", "e", "été"]
+    assert L.words_of("²") == L.words_of("") == L.words_of(None) == []
