@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,23 @@ from nestql.plans.planner import EntityQuery, Planner
 from nestql.plans.predicate import key_predicate
 from nestql.plans.selection import Binder, Selection
 from nestql.schema import Schema
+from nestql.sources.catalog import pinned
 
 log = logging.getLogger("nestql")
 
 
 class Engine:
-    """``context`` is handed to modifiers. ``debug`` logs the plan of each root field."""
+    """``context`` is handed to modifiers, loaders and handlers. ``debug`` logs the plan of each root field.
+
+    A query document sees one version of a catalog that has versions.
+    """
 
     def __init__(self, catalog, schema: Schema, *, context: Any = None, nulls_first: bool = False, root_only: bool = False, epoch_times: bool = False, debug: bool = False):
         self.catalog, self.schema, self.context = catalog, schema, context
         self.nulls_first, self.root_only, self.epoch_times, self.debug = nulls_first, root_only, epoch_times, debug
 
-    def planner(self) -> Planner:
-        return Planner(self.catalog, self.schema.entities, self.context, nulls_first=self.nulls_first, root_only=self.root_only)
+    def planner(self, catalog=None) -> Planner:
+        return Planner(self.catalog if catalog is None else catalog, self.schema.entities, self.context, nulls_first=self.nulls_first, root_only=self.root_only)
 
     def prepare(self, text: str, variables: dict[str, Any] | None = None, operation: str | None = None) -> tuple[str, list[Selection]]:
         """The operation's kind and its root selections, validated."""
@@ -58,12 +64,12 @@ class Engine:
                 s.arguments[name] = value_of(default)
         return planner.query(entity, s)
 
-    def frame(self, s: Selection, by_key: bool = False) -> DataFrame:
-        """``by_key``: rows without an order come by their key."""
+    def frame(self, s: Selection, by_key: bool = False, catalog=None) -> DataFrame:
+        """``by_key``: rows without an order come by their key. ``catalog``: instead of the engine's, as one pinned."""
         q = self.root_query(s)
         if by_key and not q.order:
             q.order = [(c, False) for c in q.entity.primary_key]
-        df = self.planner().frame(q)
+        df = self.planner(catalog or pinned(self.catalog)).frame(q)
         if self.debug:
             log.info("%s\n%s", s.key, df._jdf.queryExecution().toString())
         return df
@@ -86,11 +92,16 @@ class Engine:
             return {"errors": [_error(e.message, e.location)]}
         data: dict[str, Any] | None = {}
         errors = []
+        catalog = None
         for s in selections:
             try:
-                value = self._query(s) if owner == "Query" else self._mutation(s)
-            except EngineError as e:
-                errors.append(_error(e.message, e.location or s.location, [s.key]))
+                if owner == "Query":
+                    catalog = catalog or pinned(self.catalog)
+                value = self._query(s, catalog) if owner == "Query" else self._mutation(s)
+            except (EngineError, PySparkException, Py4JError) as e:
+                if not isinstance(e, EngineError):
+                    log.warning("%s failed", s.key, exc_info=e)
+                errors.append(_error(_said(e), getattr(e, "location", None) or s.location, [s.key]))
                 value = None
                 root = self.schema.roots.get(s.name)
                 batch = self.schema.mutations.get(s.name, (None, ""))[1] == "batch"
@@ -103,12 +114,12 @@ class Engine:
     def _rows(self, df: DataFrame) -> list[dict[str, Any]]:
         return [jsonable(r.asDict(recursive=True), self.epoch_times) for r in df.collect()]
 
-    def _query(self, s: Selection) -> Any:
+    def _query(self, s: Selection, catalog) -> Any:
         if s.name == "__typename":
             return "Query"
         if s.name in ("__schema", "__type"):
             return self.schema.introspect(s)
-        rows = self._rows(self.frame(s, by_key=True))
+        rows = self._rows(self.frame(s, by_key=True, catalog=catalog))
         return (rows[0] if rows else None) if self.schema.roots[s.name][1] else rows
 
     def _mutation(self, s: Selection) -> Any:
@@ -121,13 +132,19 @@ class Engine:
         hidden = [f"nql_key{i}" for i in range(len(entity.primary_key))]
         fields = [Selection(entity.by_source(c).name, h, {}) for c, h in zip(entity.primary_key, hidden, strict=True)]
         plain = Selection(s.name, s.key, {}, list(s.children), s.location)
-        planned = self.planner().plan(EntityQuery(entity, plain, reload_predicate(entity, keys)), entity.primary_key, root=True)
+        planned = self.planner(pinned(self.catalog)).plan(EntityQuery(entity, plain, reload_predicate(entity, keys)), entity.primary_key, root=True)
         df = planned.frame.select(*planned.values, *[F.col(planned.kept[c]).alias(h) for c, h in zip(entity.primary_key, [f.key for f in fields], strict=True)])
         rows = sorted_like([r.asDict(recursive=True) for r in df.collect()], keys, hidden)
         rows = [jsonable({k: v for k, v in r.items() if k not in hidden}, self.epoch_times) for r in rows]
         return rows if many else (rows[0] if rows else None)
 
 
+def _said(e: Exception) -> str:
+    """The message of an error of the engine or of a table; of the latter its first line."""
+    text = e.message if isinstance(e, EngineError) else (e.getMessage() if isinstance(e, PySparkException) else "") or str(e)
+    return text if isinstance(e, EngineError) else text.strip().split("\n")[0]
+
+
 def _error(message: str, location: tuple[int, int] | None, path: list[str] | None = None) -> dict[str, Any]:
     out: dict[str, Any] = {"message": message}
     if location:

@@ -26,6 +26,13 @@ class NoPrimaryKey(EngineError):
         super().__init__("No primary key argument found", location)
 
 
+class Conflict(EngineError):
+    """Another transaction committed since this one began; it may be tried again."""
+
+    def __init__(self, location: tuple[int, int] | None = None):
+        super().__init__("Another transaction was faster", location)
+
+
 class DocumentError(Exception):
     """The document is malformed or doesn't fit the schema; nothing is executed."""
 

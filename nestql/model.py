@@ -70,6 +70,19 @@ class HasMany:
 Field = Column | HasOne | HasMany
 
 
+@dataclass(frozen=True)
+class OwnFilter:
+    """A member of a filter input: ``build(value)`` gives its predicate or None.
+
+    ``type`` is the input's type, as ``Int`` or ``[String!]``; with ``members``
+    (name -> type) it is the name of an input object that has these.
+    """
+
+    build: Callable
+    type: str = "String"
+    members: tuple[tuple[str, str], ...] = ()
+
+
 @dataclass(frozen=True)
 class Entity:
     """A table with a graph type. ``unique`` is false where the key's columns don't identify a row."""
@@ -82,8 +95,10 @@ class Entity:
     description: str | None = None
     #: (entity, context, selection, frame) -> frame, or an EngineError raised: a hook on each load.
     modifier: Callable | None = None
-    #: (planner, name, value) -> predicate or None: further members of the filter input.
-    extra_filters: dict[str, Callable] = field(default_factory=dict, hash=False, compare=False)
+    #: A ``plans.planner.Loading`` with steps of its own, or None for the usual ones.
+    loading: Any = field(default=None, hash=False, compare=False)
+    #: Further members of the filter input: an OwnFilter, or a function value -> predicate or None of a String.
+    extra_filters: dict[str, OwnFilter | Callable] = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self):
         names = [f.name for f in self.fields]
@@ -132,7 +147,8 @@ class InputField:
 class Mutation:
     """What may be done to an entity: insert and update are off unless an input says what, delete is on.
 
-    Handlers replace the default action: (engine, entity, value, context) -> key rows, or a count for delete.
+    Handlers replace the default action: (engine, entity, value, context) -> the keys of created rows (insert, batch; batch
+    gets a list of values), the key of the changed row, or a count for delete. Keys are dicts by column.
     """
 
     entity: str

@@ -1,18 +1,21 @@
 """Mutations: create, batch create, update and delete on a table store.
 
-A mutation writes new versions of the tables it changes in one commit and then
-loads its rows again through the ordinary planner, so relations can be nested
-in its result. Keys of a single integer column are counted up in the store.
+A mutation writes the rows and keys by which tables change in one transaction and
+then loads its rows again through the ordinary planner, so relations can be
+nested in its result. Keys of a single integer column are counted up in the
+store.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nestql.errors import EngineError
+from nestql.errors import Conflict, EngineError
 from nestql.functions.scalars import coerce, literal
 from nestql.model import Entity, HasMany, InputField, Mutation
 from nestql.plans.language import Value
@@ -20,6 +23,8 @@ from nestql.plans.predicate import Cmp, Or, key_predicate, key_type
 from nestql.plans.selection import Selection
 
 INTEGERS = ("SmallInt", "Int", "BigInt")
+#: How often a mutation begins again after another transaction was faster.
+RETRIES = 5
 
 
 def read_input(fields: tuple[InputField, ...], v: Value) -> dict[str, Any]:
@@ -32,35 +37,54 @@ def read_key(entity: Entity, v: Value) -> dict[str, Any]:
 
 
 class Mutations:
+    """Actions on the engine's catalog; one that loses to another transaction begins again, up to ``RETRIES`` times."""
+
     def __init__(self, engine):
-        self.engine, self.store, self.entities = engine, engine.catalog, engine.schema.entities
+        self.engine, self.entities = engine, engine.schema.entities
 
     def run(self, selection: Selection) -> tuple[str, Any]:
-        """("rows", EntityQuery, one row?) or ("count", n)."""
+        """("rows", (entity, keys, several?)) or ("count", n)."""
         m, action = self.engine.schema.mutations[selection.name]
-        entity = self.entities[m.entity]
+        entity, e = self.entities[m.entity], self.engine
         argument = {"create": f"New{m.entity}", "batch": f"New{m.entity}s", "update": f"Update{m.entity}", "delete": f"Delete{m.entity}"}[action]
         value = selection.arguments.get(argument)
         if value is None:
             raise EngineError(f'Missing argument "{argument}"', selection.location)
         if action == "delete":
-            handler = m.on_delete or self.delete
-            return "count", handler(entity, read_key(entity, value))
+            return "count", m.on_delete(e, entity, value, e.context) if m.on_delete else self.tried(lambda tx: self.delete(tx, entity, read_key(entity, value)))
         if action == "update":
-            keys = [(m.on_update or self.update)(entity, m, value)]
-        elif action == "create":
-            keys = (m.on_insert or self.insert)(entity, m, [value])
+            keys = [m.on_update(e, entity, value, e.context) if m.on_update else self.tried(lambda tx: self.update(tx, entity, m, value))]
         else:
-            items = value.value if value.kind == "list" else [value]
-            keys = (m.on_batch or self.insert)(entity, m, items) if items else []
+            items = [value] if action == "create" or value.kind != "list" else value.value
+            handler = m.on_insert if action == "create" else m.on_batch
+            if handler:
+                keys = handler(e, entity, value if action == "create" else items, e.context)
+            else:
+                keys = self.tried(lambda tx: self.insert(tx, entity, m, items)) if items else []
         return "rows", (entity, keys, action == "batch")
 
-    def insert(self, entity: Entity, m: Mutation, items: list[Value]) -> list[dict[str, Any]]:
+    def tried(self, action: Callable[[Any], Any]) -> Any:
+        """An action in a transaction of its own."""
+        for left in range(RETRIES, -1, -1):
+            tx = self.engine.catalog.begin()
+            try:
+                return action(tx)
+            except Conflict:
+                if not left:
+                    raise
+            except BaseException:
+                tx.rollback()
+                raise
+
+    def _where(self, predicate: Any) -> SparkColumn:
+        return self.engine.planner().filters.column(predicate)
+
+    def insert(self, tx, entity: Entity, m: Mutation, items: list[Value]) -> list[dict[str, Any]]:
         rows = [read_input(m.insert or (), v) for v in items]
-        table, next_ids = self.store.table(entity.table), {}
+        table, next_ids = tx.table(entity.table), {}
         single = entity.primary_key[0] if len(entity.primary_key) == 1 else None
         if single and key_type(entity, single) in INTEGERS and any(single not in r for r in rows):
-            at = self.store.next_ids.get(entity.table)
+            at = tx.next_ids.get(entity.table)
             if at is None:
                 at = (table.agg(F.max(F.col(f"`{single}`"))).first()[0] or 0) + 1
             for r in rows:
@@ -72,12 +96,12 @@ class Mutations:
             if lost:
                 raise EngineError(f"No value for {lost[0]} of {entity.name}")
         keys = [{c: r[c] for c in entity.primary_key} for r in rows]
-        if len({tuple(k.values()) for k in keys}) < len(keys) or table.filter(self.engine.planner().filters.column(self._any(entity, keys))).limit(1).count():
+        if len({tuple(k.values()) for k in keys}) < len(keys) or table.filter(self._where(self._any(entity, keys))).limit(1).count():
             raise EngineError(f"A row of {entity.name} has this key already")
-        spark = table.sparkSession
         schema = table.schema
-        new = spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema=type(schema)([type(f)(f.name, f.dataType, True) for f in schema]))
-        self.store.commit({entity.table: table.unionByName(new)}, next_ids)
+        new = table.sparkSession.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema=type(schema)([type(f)(f.name, f.dataType, True) for f in schema]))
+        tx.append(entity.table, new)
+        tx.commit(next_ids)
         return keys
 
     def _any(self, entity: Entity, keys: list[dict[str, Any]]) -> Any:
@@ -87,7 +111,7 @@ class Mutations:
             return Cmp("eq_any", c, [k[c] for k in keys], key_type(entity, c))
         return parts[0] if len(parts) == 1 else Or(tuple(parts))
 
-    def update(self, entity: Entity, m: Mutation, value: Value) -> dict[str, Any]:
+    def update(self, tx, entity: Entity, m: Mutation, value: Value) -> dict[str, Any]:
         given = read_input(m.update or (), value)
         lost = [c for c in entity.primary_key if c not in given]
         if lost:
@@ -95,50 +119,50 @@ class Mutations:
         key = {c: given.pop(c) for c in entity.primary_key}
         if not given:
             raise EngineError("There are no changes to save")
-        table = self.store.table(entity.table)
-        here = self.engine.planner().filters.column(key_predicate(entity, key))
-        if not table.filter(here).limit(1).count():
+        rows = tx.table(entity.table).filter(self._where(key_predicate(entity, key)))
+        if not rows.limit(1).count():
             return key
-        types = {f.name: f.dataType for f in table.schema}
-        changed = table.withColumns({c: F.when(here, literal(v, entity.by_source(c).type).cast(types[c])).otherwise(F.col(f"`{c}`")) for c, v in given.items()})
-        self.store.commit({entity.table: changed})
+        types = {f.name: f.dataType for f in rows.schema}
+        tx.append(entity.table, rows.withColumns({c: literal(v, entity.by_source(c).type).cast(types[c]) for c, v in given.items()}))
+        tx.delete(entity.table, keys_of(rows, entity.primary_key))
+        tx.commit()
         return key
 
-    def delete(self, entity: Entity, key: dict[str, Any]) -> int:
-        table = self.store.table(entity.table)
-        here = self.engine.planner().filters.column(key_predicate(entity, key))
-        n = table.filter(here).count()
+    def delete(self, tx, entity: Entity, key: dict[str, Any]) -> int:
+        rows = tx.table(entity.table).filter(self._where(key_predicate(entity, key)))
+        n = rows.count()
         if n:
-            changes: dict[str, DataFrame] = {}
-            self._cascade(entity, table.filter(here), changes)
-            changes[entity.table] = changes.get(entity.table, table).filter(~F.coalesce(here, F.lit(False)))
-            self.store.commit(changes)
+            gone = tx.delete(entity.table, keys_of(rows, entity.primary_key))
+            self._cascade(tx, entity, gone)
+            tx.commit()
         return n
 
-    def _cascade(self, entity: Entity, gone: DataFrame, changes: dict[str, DataFrame]) -> None:
-        """Rows that hold a deleted key go with it, level by level until a level has none; a cycle ends as its rows are gone."""
-        todo, levels = [(entity, gone)], 0
+    def _cascade(self, tx, entity: Entity, gone: DataFrame) -> None:
+        """Rows that hold a deleted key go with it, level by level until a level has none; keys that went before aren't followed again."""
+        todo = [(entity, gone)]
+        followed: dict[str, list[DataFrame]] = {entity.name: [gone]}
         while todo:
             entity, gone = todo.pop(0)
             for f in entity.fields:
                 if not isinstance(f, HasMany) or f.on_delete != "cascade":
                     continue
                 child = self.entities[f.target]
-                keys = gone.select(F.col(f"`{entity.primary_key[0]}`").alias("__nql_gone")).distinct()
-                table = changes.get(child.table)
-                table = self.store.table(child.table) if table is None else table
-                match = F.col(f"`{f.fk}`") == F.col("__nql_gone")
-                lost = table.join(keys, match, "left_semi")
-                changes[child.table] = table.join(keys, match, "left_anti")
-                if not any(isinstance(g, HasMany) and g.on_delete == "cascade" for g in child.fields):
-                    continue
-                # plans of deep levels would hold those of all levels above
-                lost = lost.select(F.col(f"`{child.primary_key[0]}`")).distinct().localCheckpoint()
-                if lost.limit(1).count():
-                    levels += 1
-                    if levels % 8 == 0:
-                        changes[child.table] = changes[child.table].localCheckpoint()
-                    todo.append((child, lost))
+                parents = gone.select(F.col(f"`{entity.primary_key[0]}`").alias(f.fk)).distinct()
+                if any(isinstance(g, HasMany) and g.on_delete == "cascade" for g in child.fields):
+                    lost = keys_of(tx.table(child.table).join(parents, f.fk, "left_semi"), child.primary_key)
+                    for before in followed.get(child.name, []):
+                        lost = lost.join(before, [*child.primary_key], "left_anti")
+                    lost = tx.delete(child.table, lost)  # written, so plans of deep levels don't hold those above
+                    if lost.limit(1).count():
+                        followed[child.name] = [*followed.get(child.name, []), lost]
+                        todo.append((child, lost))
+                else:
+                    tx.delete(child.table, parents)
+
+
+def keys_of(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The distinct values of some columns."""
+    return rows.select(*[F.col(f"`{c}`") for c in columns]).distinct()
 
 
 def reload_predicate(entity: Entity, keys: list[dict[str, Any]]) -> Any:

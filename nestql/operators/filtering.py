@@ -6,8 +6,9 @@ unless Spark measures it to be small. Elsewhere (under OR, or deeper under NOT)
 it is an IN subquery, which Catalyst turns into an existence join.
 
 SQL's NOT IN is null-aware. Where nulls may occur, the anti-join on equality
-is completed by two probes of at most one row each: a null among the keys
-lets no row through, and no keys at all let every row through, nulls too.
+is completed by a scalar subquery that counts the keys and their nulls: a null
+among the keys lets no row through, and no keys at all let every row through,
+nulls too.
 """
 
 from __future__ import annotations
@@ -75,9 +76,8 @@ class Filters:
     def anti(self, df: DataFrame, p: InRelation) -> DataFrame:
         keys, c = self.keys(p), F.col(f"`{p.column}`")
         out = df.join(keys, c == F.col(KEY), "left_anti")
-        if p.column_nullable:
-            nulls = df.filter(c.isNull()).join(F.broadcast(keys.limit(1)), F.lit(True), "left_anti")
-            out = out.filter(c.isNotNull())
-        if p.key_nullable:  # at most one row is broadcast
-            out = out.join(F.broadcast(keys.filter(F.col(KEY).isNull()).limit(1)), F.lit(True), "left_anti")
-        return out.unionByName(nulls) if p.column_nullable else out
+        if not (p.column_nullable or p.key_nullable):
+            return out
+        # one pass over the keys tells whether there are any, and any null
+        seen = keys.agg(F.struct(F.count("*").alias("n"), (F.count("*") - F.count(KEY)).alias("nulls"))).scalar()
+        return out.filter((seen["n"] == 0) | (c.isNotNull() & (seen["nulls"] == 0)))

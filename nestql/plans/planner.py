@@ -3,8 +3,10 @@
 scan -> filter -> sort -> offset -> limit -> nest -> project. Every column gets
 a name of its own right after the scan, so that entities can nest in each other
 to any depth; only columns that the selection needs leave the scan. Limits apply
-before nesting, and lists of a filtered or limited parent are gathered only from
-rows that belong to it.
+before nesting. Below a filtered or limited entity, on every level, a list's rows
+are narrowed to those of its parents by a semi-join before anything is gathered
+or joined to them, and so are rows of to-one relations that hold lists or whose
+parents a limit has left few of.
 """
 
 from __future__ import annotations
@@ -38,6 +40,33 @@ class EntityQuery:
     limit: int | None = None
 
 
+class Loading:
+    """How an entity is loaded; subclasses override steps, for entities that name one as ``loading``."""
+
+    def rows(self, planner: Planner, entity: Entity, selection: Selection | None, root: bool) -> DataFrame:
+        df = planner.catalog.table(entity.table)
+        if entity.modifier is not None and selection is not None and (root or not planner.root_only):
+            df = entity.modifier(entity, planner.context, selection, df)
+        return df
+
+    def filtered(self, planner: Planner, q: EntityQuery, df: DataFrame) -> DataFrame:
+        return planner.filters.apply(df, q.predicate)
+
+    def order(self, planner: Planner, q: EntityQuery) -> list[tuple[str, bool]]:
+        """(column, descending); the key breaks ties."""
+        order = list(q.order)
+        if order or q.limit is not None or q.offset:
+            order += [(c, False) for c in q.entity.primary_key if c not in {o for o, _ in order}]
+        return order
+
+    def windowed(self, planner: Planner, q: EntityQuery, df: DataFrame, order: list[tuple[str, bool]]) -> DataFrame:
+        return window(df, order, q.offset, q.limit, planner.nulls_first)
+
+    def narrowed(self, q: EntityQuery) -> bool:
+        """Whether rows of the table may be missing, so that what nests in it is narrowed first."""
+        return q.predicate is not None or q.limit is not None
+
+
 @dataclass
 class Planned:
     frame: DataFrame
@@ -49,6 +78,16 @@ class Planned:
     scalars: list[str]
 
 
+@dataclass
+class Within:
+    """The rows' ``column`` holds a value of ``key`` of ``parents``; these are few after a limit."""
+
+    column: str
+    parents: DataFrame
+    key: str
+    few: bool
+
+
 def integer_argument(value: Value | None) -> int | None:
     """limit and offset: absent means none; anything but a number is an error."""
     if value is None:
@@ -88,11 +127,15 @@ class Planner:
     def fresh(self) -> str:
         return f"__nql{next(self._numbers)}"
 
+    def loading(self, entity: Entity) -> Loading:
+        return entity.loading or DEFAULT
+
     def rows(self, entity: Entity, selection: Selection | None = None, root: bool = False) -> DataFrame:
-        df = self.catalog.table(entity.table)
-        if entity.modifier is not None and selection is not None and (root or not self.root_only):
-            df = entity.modifier(entity, self.context, selection, df)
-        return df
+        return self.loading(entity).rows(self, entity, selection, root)
+
+    def holds_list(self, entity: Entity, selection: Selection) -> bool:
+        fields = [(s, entity.get(s.name)) for s in selection.children if s.name != "__typename"]
+        return any(isinstance(f, HasMany) or (isinstance(f, HasOne) and self.holds_list(self.entities[f.target], s)) for s, f in fields)
 
     def query(self, entity: Entity, selection: Selection, predicate: Any = None) -> EntityQuery:
         a = selection.arguments
@@ -104,20 +147,24 @@ class Planner:
             e.location = e.location or selection.location
             raise
 
-    def plan(self, q: EntityQuery, keep: tuple[str, ...] = (), root: bool = False) -> Planned:
-        entity = q.entity
-        df = self.filters.apply(self.rows(entity, q.selection, root), q.predicate)
-        order = list(q.order)
-        if order or q.limit is not None or q.offset:  # the key breaks ties
-            order += [(c, False) for c in entity.primary_key if c not in {o for o, _ in order}]
-            df = window(df, order, q.offset, q.limit, self.nulls_first)
+    def plan(self, q: EntityQuery, keep: tuple[str, ...] = (), root: bool = False, within: Within | None = None) -> Planned:
+        """``within``: only rows whose column holds a key of those of the parents."""
+        entity, loading = q.entity, self.loading(q.entity)
+        df = loading.filtered(self, q, loading.rows(self, entity, q.selection, root))
+        order = loading.order(self, q)
+        if order or q.limit is not None or q.offset:
+            df = loading.windowed(self, q, df, order)
         fields = [(s, entity.get(s.name)) for s in q.selection.children if s.name != "__typename"]
         names: dict[str, str] = {}
         many = any(isinstance(f, HasMany) for _, f in fields)
         for sql in (*keep, *(o for o, _ in order), *(entity.primary_key if many else ()), *(f.source for _, f in fields if not isinstance(f, HasMany))):
             names.setdefault(sql, self.fresh())
         df = df.select(*[F.col(f"`{sql}`").alias(n) for sql, n in names.items()]) if names else df.select(F.lit(True).alias(self.fresh()))
-        narrowed = q.predicate is not None or q.limit is not None
+        if within is not None:
+            own = self.fresh()
+            df = df.join(within.parents.select(F.col(within.key).alias(own)), F.col(names[within.column]) == F.col(own), "left_semi")
+        narrowed = within is not None or loading.narrowed(q)
+        few = q.limit is not None or (within is not None and within.few)
         parents, values = df, {}
         for s, f in fields:
             if isinstance(f, Column):
@@ -125,23 +172,21 @@ class Planner:
             elif isinstance(f, HasOne):
                 target = self.entities[f.target]
                 key = target.primary_key[0]
-                child = self.plan(EntityQuery(target, s), (key,))
+                only = Within(key, parents, names[f.source], few) if few or (narrowed and self.holds_list(target, s)) else None
+                child = self.plan(EntityQuery(target, s), (key,), within=only)
                 out = self.fresh()
                 df = nest_object(df, names[f.source], child.frame, child.kept[key], child.values, out)
                 values[s.key] = F.col(out)
             else:
                 target = self.entities[f.target]
                 child_query = EntityQuery(target, s, build(target, self.entities, s.arguments.get("filter")))
-                child = self.plan(child_query, (f.fk, *target.primary_key))
-                frame, key = child.frame, names[entity.primary_key[0]]
-                if narrowed:
-                    own = self.fresh()
-                    frame = frame.join(parents.select(F.col(key).alias(own)), F.col(child.kept[f.fk]) == F.col(own), "left_semi")
+                key = names[entity.primary_key[0]]
+                child = self.plan(child_query, (f.fk, *target.primary_key), within=Within(f.fk, parents, key, few) if narrowed else None)
                 sort = [child.kept[c] for c in target.primary_key]
                 if not target.unique:
                     sort += [c for c in child.scalars if c not in sort]
                 out = self.fresh()
-                df = nest_list(df, key, frame, child.kept[f.fk], sort, child.values, out)
+                df = nest_list(df, key, child.frame, child.kept[f.fk], sort, child.values, out)
                 values[s.key] = F.col(out)
         ordered = []
         for s in q.selection.children:
@@ -154,3 +199,6 @@ class Planner:
         """The rows of a root field, a column for each response key."""
         planned = self.plan(q, root=True)
         return planned.frame.select(*planned.values)
+
+
+DEFAULT = Loading()

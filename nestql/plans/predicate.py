@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from nestql.functions.scalars import Unfit, coerce, sql_literal
-from nestql.model import Column, Entity, EnumType, HasMany, HasOne
+from nestql.model import Column, Entity, EnumType, HasMany, HasOne, OwnFilter
 from nestql.plans.language import Value
 
 
@@ -117,7 +117,8 @@ def build(entity: Entity, entities: dict[str, Entity], value: Value | None) -> A
             inner = build(entity, entities, v)
             parts.append(None if inner is None else Not(inner))
         elif name in entity.extra_filters:
-            parts.append(entity.extra_filters[name](v))
+            own = entity.extra_filters[name]
+            parts.append((own.build if isinstance(own, OwnFilter) else own)(v))
         else:
             f = entity.get(name)
             if isinstance(f, Column):

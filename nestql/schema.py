@@ -8,7 +8,7 @@ from typing import Any
 from nestql.errors import DocumentError
 from nestql.functions.naming import filter_value_name, key_type
 from nestql.functions.scalars import SPARK, Unfit, coerce
-from nestql.model import Column, Entity, EnumType, HasMany, HasOne, InputField, Mutation, RootField
+from nestql.model import Column, Entity, EnumType, HasMany, HasOne, InputField, Mutation, OwnFilter, RootField
 from nestql.plans.language import Value
 from nestql.plans.selection import Selection
 
@@ -163,7 +163,13 @@ class Schema:
         for e in self.entities.values():
             obj(e.name, [described(f.name, self.field_type(f), e.name, f.description, f.deprecated) for f in e.fields], e.description)
             members = {f.name: self.filter_type(f) for f in e.fields}
-            members |= {n: "String" for n in e.extra_filters} | {"and": f"[{self.filter_name(e)}!]", "or": f"[{self.filter_name(e)}!]", "not": f"Not_{self.filter_name(e)}_"}
+            members |= {n: own.type if isinstance(own, OwnFilter) else "String" for n, own in e.extra_filters.items()} | {"and": f"[{self.filter_name(e)}!]", "or": f"[{self.filter_name(e)}!]", "not": f"Not_{self.filter_name(e)}_"}
+            for own in e.extra_filters.values():
+                if isinstance(own, OwnFilter) and own.members:
+                    inputs(own.type.rstrip("!"), dict(own.members))
+                for kind in [t for _, t in own.members] or [own.type] if isinstance(own, OwnFilter) else []:
+                    if kind.strip("[]!") in SPARK:
+                        scalar(kind.replace("!", ""))
             inputs(self.filter_name(e), members)
             inputs(f"Not_{self.filter_name(e)}_", {k: v for k, v in members.items() if k not in ("and", "or", "not")} | {"and": f"[{self.filter_name(e)}!]", "or": f"[{self.filter_name(e)}!]", "not": f"Not_{self.filter_name(e)}_"})
             for f in e.fields:

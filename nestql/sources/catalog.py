@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nestql.errors import Conflict
+from nestql.sources.scratch import scratch_root
+
 
 class ParquetCatalog:
     """A folder with ``<table>.parquet`` for each table."""
@@ -31,9 +34,48 @@ class FrameCatalog:
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def commit(self, changes: dict[str, DataFrame], next_ids: dict[str, int] | None = None) -> None:
-        self.tables |= changes
-        self.next_ids |= next_ids or {}
+    def snapshot(self) -> FrameCatalog:
+        out = FrameCatalog(self.tables)
+        out.next_ids = dict(self.next_ids)
+        return out
+
+    def begin(self) -> FrameTransaction:
+        return FrameTransaction(self)
+
+
+class FrameTransaction(FrameCatalog):
+    """Changes of a FrameCatalog that appear together."""
+
+    def __init__(self, catalog: FrameCatalog):
+        super().__init__(catalog.tables)
+        self.catalog, self.next_ids, self.read = catalog, dict(catalog.next_ids), dict(catalog.tables)
+        self.gone: dict[str, list[DataFrame]] = {}
+        self.added: dict[str, list[DataFrame]] = {}
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        self.added.setdefault(name, []).append(rows)
+
+    def delete(self, name: str, keys: DataFrame) -> DataFrame:
+        scratch_root(keys.sparkSession)
+        keys = keys.checkpoint()
+        self.gone.setdefault(name, []).append(keys)
+        return keys
+
+    def commit(self, next_ids: dict[str, int] | None = None) -> None:
+        if any(self.catalog.tables.get(n) is not self.read.get(n) for n in {*self.gone, *self.added}):
+            raise Conflict
+        for name in {*self.gone, *self.added}:
+            df = self.tables[name]
+            columns = df.columns
+            for keys in self.gone.get(name, []):
+                df = df.join(keys, keys.columns, "left_anti").select(*[f"`{c}`" for c in columns])
+            for rows in self.added.get(name, []):
+                df = df.unionByName(rows)
+            self.catalog.tables[name] = df
+        self.catalog.next_ids |= next_ids or {}
+
+    def rollback(self) -> None:
+        self.gone, self.added = {}, {}
 
 
 class DerivedCatalog:
@@ -46,6 +88,14 @@ class DerivedCatalog:
         df = self.base.table(name)
         return self.views[name](df) if name in self.views else df
 
+    def snapshot(self) -> DerivedCatalog:
+        return DerivedCatalog(pinned(self.base), self.views)
+
+
+def pinned(catalog):
+    """A catalog as it is now, for one document; catalogs without versions are read as they are."""
+    return catalog.snapshot() if hasattr(catalog, "snapshot") else catalog
+
 
 class JdbcCatalog:
     """Tables of a database; filters and column choices are pushed down to it.

@@ -1,7 +1,8 @@
 import pytest
 
-from nestql.errors import EngineError
-from nestql.sources.store import VersionedStore
+from nestql.errors import Conflict
+from nestql.mutations import RETRIES
+from nestql.sources.store import COMPACT, VersionedStore
 from tests import starwars as S
 
 
@@ -19,11 +20,11 @@ def names(engine):
 
 
 def test_create(engine):
-    out = engine.execute('mutation New { CreateHero(NewHero: {name: "Obi-Wan Kenobi", species: 1}) { id heroName species { name } home_world { name } } }')
-    assert out == {"data": {"CreateHero": {"id": 6, "heroName": "Obi-Wan Kenobi", "species": {"name": "Human"}, "home_world": None}}}
-    out = engine.execute('mutation { CreateHeros(NewHeros: [{name: "Yoda", species: 1, hairColor: "grey"}, {name: "R2", species: 2}]) { name: heroName hair_color species { name } } }')
-    assert out["data"]["CreateHeros"] == [{"name": "Yoda", "hair_color": "grey", "species": {"name": "Human"}}, {"name": "R2", "hair_color": None, "species": {"name": "Robot"}}]
-    assert names(engine)[-3:] == ["Obi-Wan Kenobi", "Yoda", "R2"]
+    out = engine.execute('mutation Add($who: String!) { CreateHero(NewHero: {name: $who, species: 2, homeWorld: 2}) { home_world { heros { heroName } } heroName id } }', {"who": "Tin Man"})
+    assert out == {"data": {"CreateHero": {"home_world": {"heros": [{"heroName": "Leia Organa"}, {"heroName": "Tin Man"}]}, "heroName": "Tin Man", "id": 6}}}
+    out = engine.execute('mutation { CreateHeros(NewHeros: [{name: "Dorothy", species: 1, hairColor: "brown"}, {name: "Scarecrow", species: 2}]) { name: heroName hair_color species { name } } }')
+    assert out["data"]["CreateHeros"] == [{"name": "Dorothy", "hair_color": "brown", "species": {"name": "Human"}}, {"name": "Scarecrow", "hair_color": None, "species": {"name": "Robot"}}]
+    assert names(engine)[-3:] == ["Tin Man", "Dorothy", "Scarecrow"]
     assert engine.execute("mutation { CreateHeros(NewHeros: []) { heroName } }")["data"] == {"CreateHeros": []}
 
 
@@ -65,21 +66,95 @@ def test_what_is_not_offered(engine):
     assert "data" not in engine.execute('mutation { CreateHero(NewHero: {name: "x"}) { heroName } }')
 
 
-def test_store_is_transactional(spark, tmp_path):
+def test_failed_transactions_leave_nothing(spark, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "s"))
     tables = S.frames(spark)
     store.commit({"heros": tables["heros"], "species": tables["species"]})
-    before = store.table("heros").count()
     broken = tables["species"].selectExpr("id", "raise_error('broken') as name")
     with pytest.raises(Exception):
         store.commit({"heros": tables["heros"].limit(1), "species": broken})
-    assert store.table("heros").count() == before
-    late = VersionedStore(spark, str(tmp_path / "s"))
-    stale = late.manifest()
-    store.commit({"species": tables["species"]})
-    late.manifest = lambda: stale
-    with pytest.raises(EngineError):
-        late.commit({"species": tables["species"]})
+    assert store.table("heros").count() == 5
+    assert len(list((tmp_path / "s" / "heros").iterdir())) == len(list((tmp_path / "s" / "species").iterdir())) == 1
+
+
+ADD = 'mutation {{ CreateSpecies(NewSpecies: {{name: "{}"}}) {{ id }} }}'
+
+
+def test_of_two_writers_one_begins_again(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    store.commit(S.frames(spark))
+    # both read before either commits: the second loses, whatever the tables they change
+    a, b = store.begin(), store.begin()
+    rows = store.table("species").limit(0)
+    a.append("species", rows.unionByName(spark.createDataFrame([(8, "Ewok")], rows.schema)))
+    b.append("species", rows.unionByName(spark.createDataFrame([(9, "Wookiee")], rows.schema)))
+    b.commit()
+    with pytest.raises(Conflict):
+        a.commit()
+    assert sorted(r.id for r in store.table("species").collect()) == [1, 2, 9]
+
+    class Rushed(VersionedStore):
+        """Another writer commits right after each of the first transactions begins."""
+
+        rivals = 2
+
+        def begin(self):
+            tx = super().begin()
+            if self.rivals:
+                self.rivals -= 1
+                other = S.engine(spark, VersionedStore(spark, self.path))
+                assert "errors" not in other.execute(ADD.format(f"rival{self.rivals}"))
+            return tx
+
+    out = S.engine(spark, Rushed(spark, store.path)).execute(ADD.format("mine"))
+    assert out == {"data": {"CreateSpecies": {"id": 12}}}
+    assert sorted((r.id, r.name) for r in store.table("species").collect()) == [(1, "Human"), (2, "Robot"), (9, "Wookiee"), (10, "rival1"), (11, "rival0"), (12, "mine")]
+    hopeless = Rushed(spark, store.path)
+    hopeless.rivals = RETRIES + 1
+    assert S.engine(spark, hopeless).execute(ADD.format("late"))["errors"][0]["message"] == "Another transaction was faster"
+
+
+def test_documents_see_one_version(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    store.commit(S.frames(spark))
+    before = store.snapshot()
+    e = S.engine(spark, store)
+    e.execute(ADD.format("New"))
+    assert before.table("species").count() == 2 and store.table("species").count() == 3
+    reads, manifest = [], store.manifest
+    store.manifest = lambda: reads.append(1) or manifest()
+    e.execute("{ a: Speciess { name heros { heroName } } b: Heros { heroName home_world { name } } }")
+    assert len(reads) == 1
+
+
+def test_changes_dont_rewrite_tables(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    store.commit(S.frames(spark), {"heros": 6})
+    e = S.engine(spark, store)
+    first = store.manifest().tables["heros"][0]
+    e.execute('mutation { CreateHero(NewHero: {name: "A", species: 1}) { id } }')
+    e.execute('mutation { UpdateHero(UpdateHero: {id: 1, hairColor: "grey"}) { id } }')
+    e.execute("mutation { DeleteHero(DeleteHero: {id: 5}) { count } }")
+    parts = store.manifest().tables["heros"]
+    assert parts[0] == first and ["keys" in p for p in parts] == [False, False, True, False, True]
+    want = sorted((r.id, r.hair_color) for r in store.table("heros").collect())
+    assert want == [(1, "grey"), (2, None), (3, None), (4, None), (6, None)]
+    for i in range(COMPACT - len(parts) + 1):
+        e.execute(f'mutation {{ UpdateHero(UpdateHero: {{id: 2, hairColor: "c{i}"}}) {{ id }} }}')
+        assert len(store.manifest().tables["heros"]) <= COMPACT
+    assert sorted((r.id, r.hair_color) for r in store.table("heros").collect()) == [(1, "grey"), (2, f"c{i}"), *want[2:]]
+
+
+def test_attached_tables_stay_where_they_are(spark, sf_dir, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    tx = store.begin()
+    tx.attach("nation", f"{sf_dir}/nation.parquet")
+    tx.commit()
+    tx = store.begin()
+    tx.delete("nation", tx.table("nation").filter("n_nationkey < 20").select("n_nationkey"))
+    tx.commit()
+    assert sorted(r.n_nationkey for r in store.table("nation").collect()) == [20, 21, 22, 23, 24]
+    assert spark.read.parquet(f"{sf_dir}/nation.parquet").count() == 25
 
 
 def test_handlers(spark):
@@ -89,10 +164,28 @@ def test_handlers(spark):
     from nestql.schema import Schema
     from nestql.sources.catalog import FrameCatalog
 
-    m = replace(S.MUTATIONS[0], on_insert=lambda entity, m, items: [{"id": 2}], on_delete=lambda entity, key: 99)
-    e = Engine(FrameCatalog(S.frames(spark)), Schema((S.SPECIES, S.HOME_WORLD, S.HERO, S.APPEARS_IN, S.FRIEND), ["Hero"], (m,)))
+    met = []
+
+    def insert(engine, entity, value, context):
+        met.append((engine, entity.name, value.value["name"].value, context))
+        return [{"id": 2}]
+
+    def batch(engine, entity, values, context):
+        return [{"id": 2 + i} for i, _ in enumerate(values)]
+
+    def update(engine, entity, value, context):
+        return {"id": value.value["id"].value + context["shift"]}
+
+    def delete(engine, entity, value, context):
+        return value.value["id"].value * 100
+
+    m = replace(S.MUTATIONS[0], on_insert=insert, on_batch=batch, on_update=update, on_delete=delete)
+    e = Engine(FrameCatalog(S.frames(spark)), Schema((S.SPECIES, S.HOME_WORLD, S.HERO, S.APPEARS_IN, S.FRIEND), ["Hero"], (m,)), context={"shift": 1})
     assert e.execute('mutation { CreateHero(NewHero: {name: "x", species: 1}) { heroName } }')["data"]["CreateHero"] == {"heroName": "Darth Vader"}
-    assert e.execute("mutation { DeleteHero(DeleteHero: {id: 1}) { count } }")["data"]["DeleteHero"] == {"count": 99}
+    assert met == [(e, "Hero", "x", {"shift": 1})]
+    assert [h["id"] for h in e.execute('mutation { CreateHeros(NewHeros: [{name: "x", species: 1}, {name: "y", species: 1}]) { id } }')["data"]["CreateHeros"]] == [2, 3]
+    assert e.execute('mutation { UpdateHero(UpdateHero: {id: 3, name: "x"}) { id } }')["data"]["UpdateHero"] == {"id": 4}
+    assert e.execute("mutation { DeleteHero(DeleteHero: {id: 1}) { count } }")["data"]["DeleteHero"] == {"count": 100}
 
 
 def test_cascades_have_no_deepest_level(spark):
