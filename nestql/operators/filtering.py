@@ -78,6 +78,7 @@ class Filters:
         out = df.join(keys, c == F.col(KEY), "left_anti")
         if not (p.column_nullable or p.key_nullable):
             return out
-        # one pass over the keys tells whether there are any, and any null
-        seen = keys.agg(F.struct(F.count("*").alias("n"), (F.count("*") - F.count(KEY)).alias("nulls"))).scalar()
-        return out.filter((seen["n"] == 0) | (c.isNotNull() & (seen["nulls"] == 0)))
+        # what a row needs, by one pass over the keys: nothing if there are none, a value, or more than it can have if one is null
+        n, nulls = F.count("*"), F.count("*") - F.count(KEY)
+        needs = keys.agg(F.when(n == 0, 0).when(nulls == 0, 1).otherwise(2)).scalar()
+        return out.filter(F.when(c.isNotNull(), 1).otherwise(0) >= needs)

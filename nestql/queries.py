@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 
 from nestql import tpch
 from nestql.engine import Engine
-from nestql.model import Mutation
+from nestql.model import HasMany, Mutation, OwnFilter
+from nestql.operators.ordering import window
+from nestql.plans.planner import Loading
+from nestql.plans.predicate import Custom
 from nestql.schema import inputs_of
-from nestql.sources.catalog import DerivedCatalog, FrameCatalog, ParquetCatalog
+from nestql.sources.catalog import DerivedCatalog, ParquetCatalog
+from nestql.sources.scratch import scratch_path
+from nestql.sources.store import VersionedStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +96,16 @@ graph(
 )
 graph("filter_timestamp_eq", '{ Orders(filter: {o_orderdate: {eq: "1995-03-15T00:00:00"}}) { o_orderkey o_orderdate } }', "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate = TIMESTAMP '1995-03-15 00:00:00'")
 graph("filter_double_eq", "{ Lineitems(filter: {l_discount: {eq: 0.05}, l_quantity: {eq: 10}}) { l_linenumber l_quantity l_discount } }", "SELECT l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_discount = 0.05::DOUBLE AND l_quantity = 10")
+def _tagged(spark: SparkSession, sf_dir: str) -> Engine:
+    """Parts with an array column: their size and its half."""
+    views = DerivedCatalog(ParquetCatalog(spark, sf_dir), {"part": lambda df: df.withColumn("sizes", F.array(F.col("p_size"), F.floor(F.col("p_size") / 2).cast("int")))})
+    entities = tuple(replace(e, fields=(*e.fields, tpch.c("sizes", "[Int]"))) if e is tpch.PART else e for e in tpch.ENTITIES)
+    return Engine(views, tpch.schema(entities=entities))
+
+
+for _name, _op, _sql in (("eq", "eq: [7, 3]", "= [7, 3]"), ("not_eq", "not_eq: [7, 3]", "<> [7, 3]"), ("eq_any", "eq_any: [[7, 3], [10, 5], [1, 2]]", "IN ([7, 3], [10, 5], [1, 2])")):
+    other(f"array_{_name}", f"SELECT p_partkey FROM part WHERE [p_size, p_size // 2] {_sql}")(lambda spark, sf_dir, op=_op: _tagged(spark, sf_dir).dataframe(f"{{ Parts(filter: {{sizes: {{{op}}}}}) {{ p_partkey }} }}"))
+
 graph("filter_bool_none", "{ a: Nations(filter: null) { n_nationkey } }", "SELECT n_nationkey FROM nation")
 graph("filter_empty", "{ Nations(filter: {n_name: {}, and: [], or: [{}], not: {}}) { n_nationkey } }", "SELECT n_nationkey FROM nation")
 graph("enum_filter", "{ Orders(filter: {status: {eq_any: [OPEN, PENDING]}}) { o_orderkey o_orderstatus } }", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')")
@@ -135,6 +150,18 @@ nulls("rel_not_in_null_rows", '{ Customers(filter: {not: {nation: {n_name: {like
 nulls("rel_not_in_nothing", '{ Customers(filter: {not: {nation: {n_name: {eq: "no such"}}}}) { c_custkey } }', "SELECT c_custkey FROM customer WHERE NOT c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = 'no such')")
 nulls("nest_nullable", "{ Customers { c_custkey nation { n_name } } }", "SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", columns(c_custkey="c_custkey", n_name="nation.n_name"))
 
+# -- order of nulls --------------------------------------------------------------
+for _way in ("ASC", "DESC"):
+    for _first in (False, True):
+
+        def _ordered(spark: SparkSession, sf_dir: str, way: str = _way, first: bool = _first) -> DataFrame:
+            e = _with_nulls(spark, sf_dir)
+            e.nulls_first = first
+            return e.dataframe(f"{{ Customers(order: [{{column: c_mktsegment, direction: {way}}}, {{column: c_custkey, direction: DESC}}], limit: 40, offset: 3) {{ c_custkey c_mktsegment }} }}")
+
+        _place = "FIRST" if _first == (_way == "ASC") else "LAST"
+        other(f"order_nulls_{_way.lower()}_{'smallest' if _first else 'largest'}", _NULLS + f"SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment {_way} NULLS {_place}, c_custkey DESC LIMIT 40 OFFSET 3")(_ordered)
+
 # -- relation filters ----------------------------------------------------------
 graph("rel_has_one", '{ Customers(filter: {nation: {n_regionkey: {eq: 2}}}) { c_custkey c_name } }', "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 graph("rel_two_hop", '{ Customers(filter: {nation: {region: {r_name: {eq: "ASIA"}}}}) { c_custkey c_name } }', "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA'))")
@@ -220,22 +247,31 @@ BENCH = [n for n in QUERIES if n.startswith("bench_")]
 
 
 # -- mutations -----------------------------------------------------------------
-def _writable(spark: SparkSession, sf_dir: str) -> Engine:
-    base = ParquetCatalog(spark, sf_dir)
-    tables = FrameCatalog({e.table: base.table(e.table) for e in (tpch.REGION, tpch.NATION, tpch.CUSTOMER, tpch.ORDER)})
-    entities = (tpch.NATION, tpch.REGION)
-    mutations = [Mutation(e.name, inputs_of(e, keys=False), None, inputs_of(e, keys=True)) for e in entities]
-    return Engine(tables, tpch.schema(mutations))
-
-
-def mutation(name: str, text: str, table: str, sql: str) -> None:
+def _writable(spark: SparkSession, sf_dir: str, entities=tpch.ENTITIES) -> Engine:
+    """An engine over a store of its own, to which the tables are attached where they lie."""
+    store = VersionedStore(spark, scratch_path(spark, "store"))
+    tx = store.begin()
+    for name in ("region", "nation", "customer", "orders"):
+        tx.attach(name, f"{sf_dir}/{name}.parquet")
+    tx.commit()
+    changed = [e for e in entities if e.name in ("Nation", "Region")]
+    mutations = [Mutation(e.name, inputs_of(e, keys=False), None, inputs_of(e, keys=True)) for e in changed]
+    return Engine(store, tpch.schema(mutations, entities))
+
+
+def _done(e: Engine, text: str) -> dict:
+    out = e.execute(text)
+    if "errors" in out:
+        raise RuntimeError(str(out["errors"]))
+    return out["data"]
+
+
+def mutation(name: str, text: str, table: str, sql: str, entities=tpch.ENTITIES) -> None:
     """The table after a mutation."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = _writable(spark, sf_dir)
-        done = e.execute(text)
-        if "errors" in done:
-            raise RuntimeError(str(done["errors"]))
+        e = _writable(spark, sf_dir, entities)
+        _done(e, text)
         return e.catalog.table(table)
 
     other(name, sql)(run)
@@ -246,14 +282,63 @@ mutation("mut_batch", 'mutation { CreateNations(NewNations: [{nName: "A", nRegio
 mutation("mut_update", 'mutation { UpdateNation(UpdateNation: {nNationkey: 3, nName: "NEW"}) { n_name } }', "nation", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'NEW' ELSE n_name END AS n_name, n_regionkey FROM nation")
 mutation("mut_delete", "mutation { DeleteNation(DeleteNation: {n_nationkey: 3}) { count } }", "nation", "SELECT * FROM nation WHERE n_nationkey <> 3")
 
+#: Regions take their nations along, and these their customers.
+_CASCADING = tuple(replace(e, fields=tuple(replace(f, on_delete="cascade") if f.name in ("nations", "customers") and isinstance(f, HasMany) else f for f in e.fields)) for e in tpch.ENTITIES)
+mutation("mut_cascade", "mutation { DeleteRegion(DeleteRegion: {r_regionkey: 2}) { count } }", "customer", "SELECT * FROM customer WHERE NOT c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)", _CASCADING)
+mutation(
+    "mut_several",
+    'mutation { CreateNation(NewNation: {nName: "X", nRegionkey: 4}) { n_nationkey } UpdateNation(UpdateNation: {nNationkey: 7, nName: "SEVEN"}) { n_name } DeleteNation(DeleteNation: {n_nationkey: 1}) { count } b: UpdateNation(UpdateNation: {nNationkey: 7, nRegionkey: 0}) { n_name } }',
+    "nation",
+    "SELECT n_nationkey, CASE WHEN n_nationkey = 7 THEN 'SEVEN' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 7 THEN 0 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey <> 1 UNION ALL SELECT max(n_nationkey) + 1, 'X', 4 FROM nation",
+)
+
 
 @other("delete_count", "SELECT count(*)::BIGINT AS n FROM nation WHERE n_nationkey = 3")
 def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _writable(spark, sf_dir)
-    n = e.execute("mutation { DeleteNation(DeleteNation: {n_nationkey: 3}) { count } }")["data"]["DeleteNation"]["count"]
+    n = _done(_writable(spark, sf_dir), "mutation { DeleteNation(DeleteNation: {n_nationkey: 3}) { count } }")["DeleteNation"]["count"]
     return spark.createDataFrame([(n,)], "n long")
 
 
+# -- documents with several root fields, and hooks -------------------------------
+@other("multi_root", "SELECT 'nation' AS kind, n_name AS name FROM nation UNION ALL SELECT 'region', r_name FROM region WHERE r_regionkey IN (1, 2)")
+def multi_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    text = "{ all: Nations { name: n_name } some: Regions(filter: {r_regionkey: {eq_any: [1, 2]}}) { name: r_name } }"
+    frames = [e.dataframe(text, root=root).select(F.lit(kind).alias("kind"), "name") for root, kind in (("all", "nation"), ("some", "region"))]
+    return frames[0].unionByName(frames[1])
+
+
+class _ByRevenue(Loading):
+    """Orders come dearest first, and never more than 25 of them."""
+
+    def order(self, planner, q):
+        return q.order or [("o_totalprice", True), ("o_orderkey", False)]
+
+    def windowed(self, planner, q, df, order):
+        return window(df, order, q.offset, min(q.limit or 25, 25), planner.nulls_first)
+
+    def narrowed(self, q):
+        return True
+
+
+@other("loading_override", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def loading_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = tuple(replace(e, loading=_ByRevenue()) if e.name == "Order" else e for e in tpch.ENTITIES)
+    e = Engine(ParquetCatalog(spark, sf_dir), tpch.schema(entities=entities))
+    return e.dataframe('{ Orders(filter: {o_orderstatus: {eq: "F"}}) { o_orderkey customer { c_name } } }').select("o_orderkey", "customer.c_name")
+
+
+@other("filter_own", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12")
+def filter_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def between(value):
+        low, high = (value.value[k].value for k in ("low", "high"))
+        return Custom(lambda: F.col("p_size").between(low, high), f"p_size BETWEEN {low} AND {high}")
+
+    own = {"size_range": OwnFilter(between, "SizeRange", (("low", "Int!"), ("high", "Int!")))}
+    entities = tuple(replace(e, extra_filters=own) if e.name == "Part" else e for e in tpch.ENTITIES)
+    return Engine(ParquetCatalog(spark, sf_dir), tpch.schema(entities=entities)).dataframe("{ Parts(filter: {size_range: {low: 10, high: 12}}) { p_partkey } }")
+
+
 @other("query_modifier", "SELECT c_custkey, count(o_orderkey)::INTEGER AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 WHERE c_acctbal > 0 GROUP BY c_custkey")
 def query_modifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rich(entity, context, selection, df):

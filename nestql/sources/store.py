@@ -112,7 +112,7 @@ class Transaction(Snapshot):
         """The table is what lies at ``path``, a Parquet folder or file elsewhere, which stays there."""
         self.schemas[name] = self.store.spark.read.parquet(path).schema.json()
         self.replaced.add(name)
-        self.changes[name] = [{"path": path if ":/" in path else "/" + path.lstrip("/")}]
+        self.changes[name] = [{"path": self.store.qualified(path)}]
 
     def commit(self, next_ids: dict[str, int] | None = None) -> None:
         old = self.manifest
@@ -155,6 +155,10 @@ class VersionedStore:
         """A part's folder: within the store, but for attached ones."""
         return path if path.startswith("/") or ":/" in path else f"{self.path}/{path}"
 
+    def qualified(self, path: str) -> str:
+        p = self._Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
     def remove(self, path: str) -> None:
         self._fs.delete(self._Path(self.place(path)), True)
 
