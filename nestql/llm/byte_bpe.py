@@ -1,45 +1,57 @@
 """Byte-level BPE encoding by overlapping chunks, and decoding.
 
-A text of one chunk is split by the pattern and encoded where it is read. A
-longer one is dealt out as chunks that overlap; each task splits its chunks by
-the pattern, from the chunk's own start, and reports the edges of the matches.
-The chunks of a text then meet: the split of one chunk holds until an edge that
-the next chunk has as well, from which the two agree, and the pieces between
-such edges are encoded. A chunk's last match may be cut short by the chunk's
-end, so its end doesn't count; where an overlap has no common edge (one match
-spans it), the text is split on from the last certain edge until an edge is
-shared again. Decoding concatenates the bytes of the ids.
+Every text is cut into chunks that overlap. Each chunk is pre-tokenised from its
+own start, whatever it starts in the middle of: into words, whose edges no match
+of the pattern crosses. Neighbouring chunks are stitched at the first edge in
+their overlap that both have, from which they agree: the words of one hold up to
+it and those of the next from it. A chunk's last word may be cut short by the
+chunk's end, so its end doesn't count. Where an overlap has no common edge, as a
+word spans it, the text is split again from the last certain edge, over a length
+that doubles until a word ends within it. The words are then encoded, each
+distinct one of a batch once: by the pattern's matches, all merged together.
+
+A text of more than ``SEGMENT`` characters is dealt out: its segments overlap as
+chunks do, are split in tasks of their own, and are stitched by the edges in
+their overlaps alone, which a window compares; the pieces between the stitches
+are encoded in tasks of their own again, and their ids joined. Decoding
+concatenates the bytes of the ids.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; texts
 of any length are encoded whole; repeated rows give a row each; no documents
-give no rows; input columns named like an output are replaced, others are kept.
+give no rows; null ids decode to no bytes; input columns named like an output
+are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestql.llm import bpe
-from nestql.llm.common import OWN, map_texts, ship, table, tidy, with_outputs, written
+from nestql.llm.common import OWN, map_texts, ship, small_batches, table, tidy, with_outputs, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk, and of its overlap with the next.
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 2048, 128
+#: Characters of a text beyond which it is dealt out, in segments of so many.
+SEGMENT = 32_768
 
-_UID, _K, _START, _PART, _EDGES = (OWN + x for x in ("uid", "k", "start", "part", "edges"))
+_UID, _K, _START, _PART, _SIZES, _HEAD, _TAIL, _RUN, _CUT, _IDS, _N = (OWN + x for x in ("uid", "k", "start", "part", "sizes", "head", "tail", "run", "cut", "ids", "n"))
 
 
 class Encoder:
+    """Ids of words, with a memory of those that a worker has met lately."""
+
     def __init__(self, path: str):
         self.merges, self.ranks = bpe.from_ranks(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def pieces(self, strings: list[bytes]) -> list[np.ndarray | list[int]]:
         """Ids of each match: its own where it is a token, else by merging."""
@@ -51,26 +63,29 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         new = words - self.known.keys()
-        if len(self.known) + len(new) > bpe.MEMORY:
-            self.known.clear()
-            new = words
-        order = list(new)
+        if self.known and len(self.known) + len(new) > bpe.MEMORY:
+            self.old, self.known, new = self.known, {}, words
+        self.known |= {w: self.old[w] for w in new & self.old.keys()}
+        order = list(new - self.known.keys())
         strings, of = bpe.pieces(order, bpe.other_in_tiktoken)
         ids = [np.asarray(x, "<u4").tobytes() for x in self.pieces(strings)]
         self.known |= {w: b"".join([ids[i] for i in own]) for w, own in zip(order, of, strict=True)}
 
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian 32-bit integers."""
-        split = [bpe.WORD.findall(t) if t else [] for t in texts]
+    def encode(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words as little-endian 32-bit integers."""
         self.learn(set().union(*split))
         known = self.known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
-    def matches(self, matches: list[str]) -> bytes:
-        """Ids of matches of the pattern."""
-        numbers = {p: i for i, p in enumerate(dict.fromkeys(matches))}
-        ids = [np.asarray(x, "<u4").tobytes() for x in self.pieces([p.encode("utf-8", "surrogatepass") for p in numbers])]
-        return b"".join([ids[numbers[p]] for p in matches])
+    def texts(self, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[bytes]:
+        """Ids of whole texts."""
+        return self.encode([words_of(t, chunk, overlap) if t else [] for t in texts])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """A worker's own, for all its tasks."""
+    return Encoder(path)
 
 
 def decoded(ids: bytes | None, words: list[bytes]) -> bytes:
@@ -88,51 +103,60 @@ def chunks(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
             return
 
 
-def edges(part: str, start: int) -> list[int]:
-    """Ends of the pattern's matches in a chunk, as places in the text."""
-    return [start + e for e in accumulate(map(len, bpe.matches(part, bpe.other_in_tiktoken)))]
-
-
-def stitched(starts: list[int], parts: list[str], ends: list[list[int]]) -> list[str]:
-    """The matches of the whole text, from the chunks' own splits."""
-    out: list[str] = []
-    text_end = starts[-1] + len(parts[-1])
-
-    def piece(a: int, b: int, c: int) -> str:
-        s = ""
-        while a < b:  # a match may lie in several chunks
-            while c + 1 < len(starts) and starts[c + 1] <= a:
-                c += 1
-            got = parts[c][a - starts[c] : b - starts[c]]
-            s, a = s + got, a + len(got)
-        return s
-
-    at, c = 0, 0
-    while at < text_end:
-        sure = ends[c] if c + 1 == len(parts) else ends[c][:-1]
-        after = np.searchsorted(ends[c], at, side="right")
-        limit = starts[c + 1] if c + 1 < len(parts) else text_end
-        shared = set(ends[c + 1]) | {starts[c + 1]} if c + 1 < len(parts) else set()
-        for e in sure[after:]:
-            out.append(piece(at, e, c))
-            at = e
-            if at > limit and at in shared:
-                break
-        if at >= text_end:
+def edges_after(words: list[str], end: int, least: int) -> dict[int, int]:
+    """Edges beyond ``least`` of a chunk that ends at ``end``, but that end: place -> number of words before it."""
+    out = {}
+    for i in range(len(words) - 1, 0, -1):
+        end -= len(words[i])
+        if end <= least:
             break
-        if c + 1 == len(parts):
-            raise AssertionError("the last chunk ends with the text")
-        if at > limit and at in shared:
-            c += 1
-            continue
-        # no common edge in the overlap: split on from the last certain edge, with the next chunk joined on
-        grown = piece(at, starts[c + 1] + len(parts[c + 1]), c)
-        starts, parts, ends = [at, *starts[c + 2 :]], [grown, *parts[c + 2 :]], [edges(grown, at), *ends[c + 2 :]]
-        c = 0
+        out[end] = i
     return out
 
 
-def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def first_edge(words: list[str], start: int, of: dict[int, int]) -> tuple[int, int] | None:
+    """The first edge of a chunk that ``of`` has too: its place and the number of words before it."""
+    last = max(of, default=start)
+    for j, w in enumerate(words, 1):
+        start += len(w)
+        if start > last:
+            return None
+        if start in of:
+            return start, j
+    return None
+
+
+def words_of(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The words of a text, by chunks."""
+    parts = list(chunks(text, chunk, overlap))
+    split = [bpe.WORD.findall(p) for _, p in parts]
+    out, words, skip = [], split[0], 0
+    end = len(parts[0][1])
+    for (start, part), nxt in zip(parts[1:], split[1:], strict=True):
+        if start + len(part) <= end:  # within what was split again
+            continue
+        of = edges_after(words, end, start)
+        met = first_edge(nxt, start, of)
+        if met:
+            out += words[skip : of[met[0]]]
+            words, skip, end = nxt, met[1], start + len(part)
+            continue
+        # a word spans the overlap: on from the last certain edge
+        out += words[skip:-1]
+        at, least = end - len(words[-1]), start + len(part)
+        if len(words) - 1 < skip:
+            raise AssertionError("a chunk's words are used up")
+        size = least - at
+        while True:
+            words, skip = bpe.WORD.findall(text[at : at + size]), 0
+            end = min(at + size, len(text))
+            if len(words) > 1 or end == len(text):
+                break
+            size *= 2
+    return out + words[skip:]
+
+
+def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, segment: int = SEGMENT) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` (binary: little-endian 32-bit integers)."""
     path = path or public_tokenizers.path(RANKS)
     spark = docs.sparkSession
@@ -140,48 +164,85 @@ def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, over
     docs = tidy(docs, "text")
 
     def start():
-        encoder = Encoder(path)
+        own = encoder(path)
 
         def run(texts):
-            ids = encoder.texts(texts)
+            ids = own.texts(texts, chunk, overlap)
             return [[len(x) // 4 for x in ids], ids]
 
         return run
 
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    is_long = F.coalesce(F.length("text"), F.lit(0)) > segment
     short = map_texts(docs.filter(~is_long), start, added)
-    long = docs.filter(is_long).withColumn(_UID, F.monotonically_increasing_id())
-    if not docs.filter(is_long).limit(1).count():
+    long = written(docs.filter(is_long).withColumn(_UID, F.monotonically_increasing_id()), "long")
+    if long.isEmpty():
         return short
+    made = dealt(long.select(_UID, "text"), path, chunk, overlap, segment)
+    return short.unionByName(long.join(made, _UID).select(*with_outputs(docs, ("n_tokens", "ids")), made["n_tokens"], made["ids"]))
+
+
+def dealt(long: DataFrame, path: str, chunk: int, overlap: int, segment: int) -> DataFrame:
+    """``n_tokens`` and ``ids`` of each ``_UID``, by tasks that each hold a segment at a time."""
+    spark = long.sparkSession
     ship(spark)
-    long = written(long, "long")
+    small_batches(spark)
 
     def cut(batches):
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, (at, part) in enumerate(chunks(text.as_py(), chunk, overlap)):
+                for k, (at, part) in enumerate(chunks(text.as_py(), segment, overlap)):
                     yield pa.RecordBatch.from_pydict({_UID: [uid], _K: pa.array([k], pa.int32()), _START: [at], _PART: [part]})
 
     def split(batches):
         for batch in batches:
-            found = [edges(p.as_py(), s.as_py()) for s, p in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, _EDGES])
+            for uid, k, at, part in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+                words = words_of(part, chunk, overlap)
+                sizes = list(map(len, words))
+                ends = (at + np.cumsum(sizes)).tolist()
+                head = [e for e in ends[:-1] if e <= at + 2 * overlap]
+                tail = [e for e in ends[:-1] if e > at + segment]
+                yield pa.RecordBatch.from_pydict({_UID: [uid], _K: pa.array([k], pa.int32()), _START: [at], _PART: [part], _SIZES: pa.array([sizes], pa.list_(pa.int32())), _HEAD: pa.array([head], pa.list_(pa.int64())), _TAIL: pa.array([tail], pa.list_(pa.int64()))})
 
-    def stitch(key, frame):
-        frame = frame.sort_values(_K)
-        found = stitched(frame[_START].tolist(), frame[_PART].tolist(), [e.tolist() for e in frame[_EDGES]])
-        ids = Encoder(path).matches(found)
+    schema = f"{_UID} long, {_K} int, {_START} long, {_PART} string"
+    parts = long.mapInArrow(cut, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), _UID, _K)
+    parts = written(parts.mapInArrow(split, f"{schema}, {_SIZES} array<int>, {_HEAD} array<long>, {_TAIL} array<long>"), "split")
+
+    # stitches: the first edge that a segment and the one before it have in their overlap; a run of segments without one stays together
+    along = Window.partitionBy(_UID).orderBy(_K)
+    met = F.when(F.col(_K) == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag(_TAIL).over(along), F.col(_HEAD))))
+    marks = parts.select(_UID, _K, _HEAD, _TAIL).withColumn(_CUT, met).withColumn(_RUN, F.count(_CUT).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marks.groupBy(_UID, _RUN).agg(F.max(_CUT).alias(_CUT), F.count("*").alias(_N))
+    runs = runs.withColumn(OWN + "end", F.lead(_CUT).over(Window.partitionBy(_UID).orderBy(_RUN)))
+    of = marks.select(_UID, _K, _RUN).join(runs, [_UID, _RUN])
+    pieces = parts.join(of, [_UID, _K]).select(_UID, _RUN, _CUT, OWN + "end", _N, _K, _START, _PART, _SIZES)
+
+    def ids_of(words: list[str], at: int, cut: int, end: int | None) -> bytes:
+        ends = at + np.cumsum(list(map(len, words)))
+        first = int(np.searchsorted(ends, cut, side="right"))
+        last = len(words) if end is None else int(np.searchsorted(ends, end, side="right"))
+        return encoder(path).encode([words[first:last]])[0]
+
+    def single(batches):
+        for batch in batches:
+            for uid, run, cut, end, _, _, at, part, sizes in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
+                places = np.cumsum([0, *sizes]).tolist()
+                words = [part[a:b] for a, b in zip(places, places[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({_UID: [uid], _RUN: [run], _IDS: [ids_of(words, at, cut, end)]})
+
+    def several(key, frame):
         import pandas as pd
 
-        return pd.DataFrame({_UID: [key[0]], "n_tokens": [len(ids) // 4], "ids": [ids]})
+        frame = frame.sort_values(_K)
+        text = "".join([p[:segment] for p in frame[_PART][:-1]]) + frame[_PART].iloc[-1]
+        end = frame[OWN + "end"].iloc[0]
+        ids = ids_of(words_of(text, chunk, overlap), int(frame[_START].iloc[0]), int(frame[_CUT].iloc[0]), None if pd.isna(end) else int(end))
+        return pd.DataFrame({_UID: [key[0]], _RUN: [key[1]], _IDS: [ids]})
 
-    schema = f"{_UID} long, {_K} int, {_START} long, {_PART} string"
-    parts = long.select(_UID, "text").mapInArrow(cut, schema)
-    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), _UID, _K)
-    parts = parts.mapInArrow(split, f"{schema}, {_EDGES} array<long>")
-    made = parts.groupBy(_UID).applyInPandas(stitch, f"{_UID} long, {added}")
-    joined = long.join(made, _UID).select(*with_outputs(docs, ("n_tokens", "ids")), made["n_tokens"], made["ids"])
-    return short.unionByName(joined)
+    out = f"{_UID} long, {_RUN} long, {_IDS} binary"
+    found = pieces.filter(F.col(_N) == 1).mapInArrow(single, out)
+    found = found.unionByName(pieces.filter(F.col(_N) > 1).groupBy(_UID, _RUN).applyInPandas(several, out))
+    joined = F.expr(f"listagg({_IDS}) WITHIN GROUP (ORDER BY {_RUN})")
+    return found.groupBy(_UID).agg(joined.alias("ids")).select(_UID, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def decode(df: DataFrame, *, path: str | None = None) -> DataFrame:
@@ -192,7 +253,7 @@ def decode(df: DataFrame, *, path: str | None = None) -> DataFrame:
         words = bpe.words_of(path)
         return lambda ids: [[decoded(x, words) for x in ids]]
 
-    return map_texts(df, start, "decoded binary", text="ids")
+    return map_texts(tidy(df, "ids"), start, "decoded binary", text="ids")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = LIMIT
 
         return run
 
-    return map_texts(docs, start, "n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(tidy(docs, "text"), start, "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

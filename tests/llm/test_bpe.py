@@ -61,30 +61,60 @@ def test_rounds_match_single_merges(rank_encoder):
         assert got.tolist() == merges.one(s).tolist()
 
 
-@pytest.mark.parametrize("size,overlap", [(7, 3), (5, 1), (16, 8)])
+@pytest.mark.parametrize("size,overlap", [(7, 3), (5, 1), (16, 8), (40, 0)])
 def test_chunks_stitch_to_the_whole_split(size, overlap):
-    for t in texts()[:200] + ["a" * 100, "a b" * 40 + " " * 60 + "c"]:
-        if not t:
-            continue
-        cs = list(byte_bpe.chunks(t, size, overlap))
-        found = byte_bpe.stitched([a for a, _ in cs], [p for _, p in cs], [byte_bpe.edges(p, a) for a, p in cs])
-        assert found == bpe.matches(t, bpe.other_in_tiktoken)
+    for t in texts()[:200] + ["a" * 100, "a b" * 40 + " " * 60 + "c", "a " * 30 + "b" * 90 + " c" * 30, "x" * 1000 + " y", " " * 50 + "x" * 50 + "\n" * 50]:
+        if t:
+            assert byte_bpe.words_of(t, size, overlap) == bpe.WORD.findall(t)
 
 
-def test_cases(spark, rank_encoder):
+def test_long_words_take_linear_time():
+    text = "x" * 3_000_000 + " y " * 100_000
+    assert byte_bpe.words_of(text) == bpe.WORD.findall(text)
+
+
+def test_memory_keeps_the_words_it_met_last(monkeypatch):
+    path = P.path("byte_bpe_50k.tiktoken")
+    want = byte_bpe.Encoder(path).texts(texts())
+    monkeypatch.setattr(bpe, "MEMORY", 20)
+    encoder = byte_bpe.Encoder(path)
+    for t, ids in zip(texts(), want):
+        assert encoder.texts([t]) == [ids]
+        assert len(encoder.known) <= max(20, len(set(bpe.WORD.findall(t))))
+
+
+SPANNING = "a " * 300 + "b" * 2500 + " c" * 10 + "d" * 900 + "\n\n  e" * 300
+
+
+@pytest.mark.parametrize("chunk,overlap,segment", [(64, 16, 400), (100, 50, 1000), (64, 8, 10**6)])
+def test_cases(spark, rank_encoder, chunk, overlap, segment):
     long = " ".join(f"word{i}'s" for i in range(2000)) + "x" * 500
-    rows = [(1, None, "a"), (2, "", None), (3, "Hello's  world\n", "b"), (3, "Hello's  world\n", "b"), (None, long, "c"), (5, long, "c")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, Ids string")
-    out = byte_bpe.decode(byte_bpe.encode(df, chunk=1000, overlap=50)).collect()
-    assert len(out) == len(rows)
+    rows = [(1, None, "a"), (2, "", None), (3, "Hello's  world\n", "b"), (3, "Hello's  world\n", "b"), (None, long, "c"), (5, long, "c"), (6, SPANNING, "d"), (7, "y" * 5000, "d"), (8, " " * 3000 + "\n" * 2000, None), (9, "日本語 " * 900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Ids string").selectExpr("*", "text as TEXT", "1 as Decoded", "2 as N_TOKENS")
+    out = byte_bpe.decode(byte_bpe.encode(df, chunk=chunk, overlap=overlap, segment=segment)).collect()
+    assert len(out) == len(rows) and sorted((r.doc_id or 0, r.text or "") for r in out) == sorted((r[0] or 0, r[1] or "") for r in rows)
     for r in out:
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == rank_encoder[1].encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
         assert r.n_tokens == len(r.ids) // 4
-    counts = token_counts.count_tokens(df).collect()
-    assert [(r.n_bytes, r.over_limit) for r in counts if r.doc_id in (1, 2)] == [(0, False)] * 2
-    assert [r.over_limit for r in counts if r.text == long] == [True, True]
-    assert byte_bpe.encode(df.limit(0)).collect() == [] and token_counts.count_tokens(df.limit(0)).collect() == []
+    if segment == 400:
+        counts = token_counts.count_tokens(df).collect()
+        assert [(r.n_bytes, r.over_limit) for r in counts if r.doc_id in (1, 2)] == [(0, False)] * 2
+        assert [r.over_limit for r in counts if r.text == long] == [True, True]
+        assert byte_bpe.encode(df.limit(0)).collect() == [] and token_counts.count_tokens(df.limit(0)).collect() == []
+        clash = spark.createDataFrame([(None, "x")], "ids binary, IDS string")
+        assert [bytes(r.decoded) for r in byte_bpe.decode(clash).collect()] == [b""]
+
+
+def test_query_deals_out_long_texts(spark, tmp_path, rank_encoder):
+    words = [f"w{i * i % 997}'s {'zz' * (i % 9)}\n" for i in range(30_000)]
+    rows = [(i, t) for i, t in enumerate(["".join(words), SPANNING * 30, "z" * 100_000, "".join(words[:700]), None, " \n" * 40_000])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in byte_bpe.op10_byte_bpe(spark, str(tmp_path)).collect()}
+    assert len(rows[0][1]) > 8 * byte_bpe.SEGMENT and len(out) == len(rows)
+    for i, t in rows:
+        ids = np.array(rank_encoder[1].encode_ordinary(t or ""), "<u4")
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
 def test_queries_match_the_libraries(spark, sf_dir, rank_encoder):
