@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -129,32 +129,33 @@ class Merges:
             out[i] = self.one(strings[i])
         return out
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and symbol of each pair, for single lookups."""
+        there = self.keys >= 0
+        return dict(zip(self.keys[there].tolist(), zip(self.rank[there].tolist(), self.made[there].tolist(), strict=True), strict=True))
+
     def one(self, string: bytes) -> np.ndarray:
         """The symbols of one string, one merge after the other."""
         sym = self.base[np.frombuffer(string, np.uint8)].tolist()
-        n = len(sym)
+        n, pairs = len(sym), self.pairs
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        slots = self.find(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64)) if n > 1 else np.zeros(0, np.int64)
-        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(self.rank[slots].tolist()) if r != NONE]
+        heap = [(*pairs[k], i, k) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (k := a << 20 | b) in pairs]
+        heap = [(rank, i, made, k) for rank, made, i, k in heap]
         heapq.heapify(heap)
 
-        def push(i: int, j: int) -> None:
-            slot = self.find(np.array([sym[i]]), np.array([sym[j]]))[0]
-            if self.rank[slot] != NONE:
-                heapq.heappush(heap, (int(self.rank[slot]), i, sym[i], sym[j]))
-
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            _, i, made, k = heapq.heappop(heap)
             j = after[i]
-            if sym[i] != a or j < 0 or sym[j] != b:
+            if j < 0 or sym[i] << 20 | sym[j] != k:
                 continue
-            sym[i] = int(self.made[self.find(np.array([a]), np.array([b]))[0]])
-            sym[j], after[i] = -1, after[j]
+            sym[i], sym[j], after[i] = made, -1, after[j]
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (k := sym[x] << 20 | sym[y]) in pairs:
+                    rank, made = pairs[k]
+                    heapq.heappush(heap, (rank, x, made, k))
             if after[i] >= 0:
                 before[after[i]] = i
-                push(i, after[i])
-            if before[i] >= 0:
-                push(before[i], i)
         return np.array([s for s in sym if s >= 0], np.int64)
 
 
