@@ -1,38 +1,40 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut at block-level tags into blocks of text. Pass one decides blocks:
-a block in a part of the page whose tag or class says that it isn't content
-(menu, header, footer, sidebar, notice, advert, form, reader comment) is bad; so
-is one that is mostly links, but for short ones in an article or main part.
-Otherwise length and the density of stop words classify: blocks with many stop
-words are good, long ones with few are bad, long ones between are good; shorter
-ones without many, and headings, stay ambiguous. In an article or main part
-the tag makes up for few stop words: blocks that aren't short are good, long
-ones with few stop words ambiguous.
+A page is cut at block-level tags into blocks of text. Pass one classifies every
+block by its length and its densities of links and stop words: mostly links are
+bad; short ones and headings stay ambiguous; many stop words are good; without
+many, blocks of middling length are ambiguous too, and long ones are good with
+some and bad with few. Where less than half of the text in blocks that aren't
+short or linked has many stop words, the page's language counts as unknown, and
+all those blocks are good.
+
+Tags and classes are evidence that moves these classes. A block in a marked part
+of the page, one whose tag or class says that it isn't content (menu, header,
+footer, sidebar, notice, advert, form, reader comment), is bad, whatever its
+densities. In an article or main part a class counts one step better: ambiguous
+blocks that aren't short are good, long ones with few stop words ambiguous, and
+so are short ones that are links.
 An article or main part outside other articles clears the mark of wrappers around
 it, by class, id or role or as a form, unless articles without such a wrapper
 hold as much text; it doesn't clear that of hidden parts and of other tags. Names
 such as has-sidebar or no-ads mark nothing, and broad words (search, share, side)
 only alone or with words for parts of a page (search-box, not search-result).
-Where less than half of the text in blocks that aren't short or linked has
-many stop words, the page's language counts as unknown, and all those blocks
-are good.
-
-Pass two gives ambiguous blocks the label of decided neighbours. In an article
-or main part only blocks of such parts count: an ambiguous block is good unless
-the next ones on both sides are bad; one that is linked or long, unless one of
-them is.
-Elsewhere the nearest on each side count: both alike, or the nearer of the two,
-a tie going to the one after it for a heading and to bad otherwise. On a page
-without a good block all ambiguous ones are kept.
+
+Pass two gives ambiguous blocks the label of their nearest decided neighbours on
+either side; blocks of marked parts say nothing about blocks beside these parts.
+Both neighbours alike, or the nearer of the two, count, a tie going to the one
+after it for a heading and to bad otherwise. In an article or main part only
+blocks of such parts are neighbours, and an ambiguous block is good unless both
+are bad; one that is linked or long, unless one of them is. On a page without a
+good block all ambiguous ones are kept.
 
 Character references are decoded, white space inside a block becomes one blank,
 and good blocks are joined in page order by one blank.
 
-Defined cases: a null or empty page has an empty text; any length of page is
-read whole, broken or cut markup to its end; repeated rows give a row each; no
-pages give no rows; input columns named like an output are replaced, all others
-are kept.
+Defined cases: a null or empty page has an empty text; any length of page and any
+depth of tags is read whole, in time linear in it, broken or cut markup to its
+end; repeated rows give a row each; no pages give no rows; input columns named
+like an output are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -92,6 +94,8 @@ class Block:
     heading: bool
     #: In an article or main part below a wrapper that is marked as no content.
     wrapped: bool = False
+    #: In a part that tags or classes mark as no content.
+    marked: bool = False
 
 
 def marks(name: str) -> set[str]:
@@ -125,6 +129,7 @@ def blocks(page: str) -> list[Block]:
     # name, bad by itself, a wrapper or hint that an article below it clears, good by itself, marks cleared outside it
     open_tags: list[tuple[str, bool, bool, bool, int]] = []
     bad = soft = cleared = good = links = heads = 0
+    named: dict[str, int] = {}  # how many tags of each name are open
     text: list[str] = []
     in_links: list[str] = []
 
@@ -132,13 +137,15 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
             linked = " ".join(html.unescape("".join(in_links)).split())
-            out.append(Block(joined, len(linked), bad > 0 or soft > cleared, good > 0, heads > 0, cleared > 0))
+            marked = bad > 0 or soft > cleared
+            out.append(Block(joined, len(linked), marked, good > 0, heads > 0, cleared > 0, marked))
         text.clear()
         in_links.clear()
 
     def pop() -> None:
         nonlocal bad, soft, cleared, good, links, heads
         name, was_bad, was_soft, was_good, cleared = open_tags.pop()
+        named[name] -= 1
         bad -= was_bad
         soft -= was_soft
         good -= was_good
@@ -164,7 +171,7 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             if name in BLOCK_TAGS:
                 close_block()
-            if any(t[0] == name for t in open_tags):
+            if named.get(name):
                 while open_tags[-1][0] != name:
                     pop()
                 pop()
@@ -196,19 +203,21 @@ def blocks(page: str) -> list[Block]:
             is_bad = False
         outside = cleared
         # articles in an article's marked parts are reader comments and the like; a main part may hold marked wrappers
-        if is_good and not hint and not any(t[0] == "article" for t in open_tags):
+        if is_good and not hint and not named.get("article"):
             cleared = soft
         bad += is_bad
         soft += is_soft
         good += is_good
         links += name == "a"
         heads += name in HEADINGS
+        named[name] = named.get(name, 0) + 1
         open_tags.append((name, is_bad, is_soft, is_good, outside))
     close_block()
     plain, wrapped = (sum(len(b.text) for b in out if b.good and not b.bad and b.wrapped == w) for w in (False, True))
     if wrapped <= plain:  # teasers and comments beside the main text
         for b in out:
             b.bad |= b.wrapped
+            b.marked |= b.wrapped
     return out
 
 
@@ -217,26 +226,32 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def decided(found: list[Block]) -> list[bool | None]:
-    """Pass one, and the ambiguous blocks of articles."""
+def classes(found: list[Block]) -> list[bool | None]:
+    """Pass one: good, bad or ambiguous (None) by length and densities, and by the tags around."""
     linked = [b.link_chars > MAX_LINKS * len(b.text) for b in found]
-    told = [None if b.bad or x or len(b.text) < SHORT else stop_density(b.text) for b, x in zip(found, linked, strict=True)]
-    chars = sum(len(b.text) for b, d in zip(found, told, strict=True) if d is not None)
-    known = 2 * sum(len(b.text) for b, d in zip(found, told, strict=True) if d is not None and d >= STOP_HIGH) >= chars
-    first: list[bool | None] = []
+    told = [None if x or len(b.text) < SHORT else stop_density(b.text) for b, x in zip(found, linked, strict=True)]
+    counted = [(len(b.text), d) for b, d in zip(found, told, strict=True) if d is not None and not b.marked]
+    known = 2 * sum(n for n, d in counted if d >= STOP_HIGH) >= sum(n for n, _ in counted)
+    out: list[bool | None] = []
     for b, link, density in zip(found, linked, told, strict=True):
+        label: bool | None = None
+        if link:
+            label = False
+        elif density is not None and not b.heading:
+            label = True if not known or density >= STOP_HIGH else None if len(b.text) < LONG else density >= STOP_LOW
         if b.bad:
-            first.append(False)
-        elif link:
-            first.append(None if b.good and len(b.text) < SHORT else False)
-        elif density is None or b.heading:
-            first.append(None)
-        elif not known or density >= STOP_HIGH or b.good and (density >= STOP_LOW or len(b.text) < LONG):
-            first.append(True)
-        elif len(b.text) < LONG:
-            first.append(None)
-        else:
-            first.append(True if density >= STOP_LOW else None if b.good else False)
+            label = False
+        elif b.good and link:
+            label = None if len(b.text) < SHORT else False
+        elif b.good and density is not None and not b.heading:
+            label = True if label is None else label or None
+        out.append(label)
+    return out
+
+
+def decided(found: list[Block]) -> list[bool | None]:
+    """Pass one, and of pass two the ambiguous blocks of articles."""
+    first = classes(found)
     inside = [i for i, b in enumerate(found) if b.good and not b.bad]
     before: list[bool | None] = [None] * len(found)
     after = list(before)
@@ -247,7 +262,8 @@ def decided(found: list[Block]) -> list[bool | None]:
             last = last if first[i] is None else first[i]
     for i in inside:
         if first[i] is None:
-            doubtful = linked[i] or (told[i] is not None and not found[i].heading)
+            b = found[i]
+            doubtful = b.link_chars > MAX_LINKS * len(b.text) or (len(b.text) >= SHORT and not b.heading)
             sides = (before[i] is not False, after[i] is not False)
             first[i] = all(sides) if doubtful else any(sides)
     return first
@@ -257,12 +273,13 @@ def labels(found: list[Block], first: list[bool | None] | None = None) -> list[b
     """Whether each block belongs to the main text."""
     first = decided(found) if first is None else first
     n = len(first)
+    tells = [x is not None and not b.marked for b, x in zip(found, first, strict=True)]
     before: list[int] = [-1] * n
     after: list[int] = [n] * n
     for i in range(1, n):
-        before[i] = i - 1 if first[i - 1] is not None else before[i - 1]
+        before[i] = i - 1 if tells[i - 1] else before[i - 1]
     for i in range(n - 2, -1, -1):
-        after[i] = i + 1 if first[i + 1] is not None else after[i + 1]
+        after[i] = i + 1 if tells[i + 1] else after[i + 1]
     out = []
     for i, label in enumerate(first):
         if label is None:

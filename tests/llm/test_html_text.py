@@ -102,3 +102,37 @@ def test_marked_parts_beside_and_in_articles_stay_bad():
     want = f"A {LONG * 2}".strip()
     for page in (article + teaser, teaser + article, f"<div class='sidebar'>{article}</div>", f"<form>{article}</form>"):
         assert H.main_text(page) == want
+
+
+def test_blocks_are_decided_alike_without_article_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").toPandas()
+    alike = total = 0
+    for page in pages.html:
+        bare = re.sub(r"<(/?)(?:article|main)\b[^>]*>", r"<\1div>", page)
+        with_tags, without = H.blocks(page), H.blocks(bare)
+        assert [b.text for b in with_tags] == [b.text for b in without] and not any(b.good for b in without)
+        alike += sum(a == b for a, b in zip(H.labels(with_tags), H.labels(without)))
+        total += len(without)
+    assert alike >= 0.95 * total
+
+
+def test_densities_decide_on_pages_without_any_marks():
+    links = "".join(f"<li><a href='{i}'>Another story of today {i}</a></li>" for i in range(9))
+    tags = "Berlin Hamburg Munich Cologne Frankfurt Stuttgart Leipzig Dresden Hanover Nuremberg Bremen " * 3
+    page = f"<div><ul>{links}</ul><p>Sign in</p></div><div><h1>Title</h1><p>{LONG * 3}</p><p>A short one.</p><p>{LONG}</p></div><div>{tags}</div><div>All rights</div>"
+    assert H.main_text(page) == " ".join(f"Title {LONG * 3} A short one. {LONG}".split())
+
+
+def test_marked_parts_say_nothing_about_blocks_beside_them():
+    page = f"<nav>Home</nav><div><p>By A. Writer</p><p>{LONG}</p><p>The end.</p><p>Really.</p></div><footer>F</footer>"
+    assert H.main_text(page) == " ".join(f"By A. Writer {LONG} The end. Really.".split())
+
+
+def test_time_is_linear_in_the_page():
+    import time
+
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<div>" * n + "x" + "</div>" * n, lambda n: "<article>" * n, lambda n: "<p><b>x" * n, lambda n: "<a '" * n, lambda n: "<ul><li>x" * n):
+        start = time.time()
+        H.main_text(make(60_000))
+        assert time.time() - start < 6
+    assert H.main_text("<div>" * 50_000 + f"<p>{LONG}</p>" + "</div>" * 50_000) == LONG.strip()
