@@ -24,7 +24,7 @@ import regex
 NONE = np.iinfo(np.int32).max
 #: Bytes beyond which a string is merged by itself.
 LONG_BYTES = 4096
-#: Entries at which a worker's memory of encoded words is emptied.
+#: Entries of either half of a worker's memory of encoded words: the older half goes when the newer is full.
 MEMORY = 150_000
 #: Characters of a text that are split into words at one time.
 WINDOW = 1 << 20
@@ -34,6 +34,8 @@ _word_like = regex.compile(r"[\p{L}\p{N}]")
 _blank = "".join(re.escape(chr(c)) for c in range(0x3001) if regex.match(r"\s", chr(c)))
 #: A text's words, each with the blank before it, and its runs of blanks: the pattern's matches never cross their edges.
 WORD = re.compile(f" ?[^{_blank}]+|[{_blank}]+(?![^{_blank}])|[{_blank}]")
+#: Signs that end many words.
+SIGNS = frozenset(".,;:!?")
 _edge = re.compile(f"(?<=[^{_blank}])[{_blank}]")
 
 
@@ -83,14 +85,12 @@ class Merges:
             lost = lost[(got != keys[lost]) & (got != -1)]
         return at
 
-    def encode(self, strings: list[bytes]) -> list[np.ndarray]:
-        """The symbols of each string."""
-        out: list[np.ndarray | None] = [None] * len(strings)
+    def ragged(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all strings, joined, and how many each has."""
         lens = np.fromiter(map(len, strings), np.int64, len(strings))
         own = np.flatnonzero((lens > 0) & (lens <= LONG_BYTES))
-        for i in np.flatnonzero(lens == 0):
-            out[i] = np.zeros(0, np.int64)
         alone = np.flatnonzero(lens > LONG_BYTES).tolist()
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # strings, their sizes, their symbols
         sizes = lens[own]
         flat = self.base[np.frombuffer(b"".join([strings[i] for i in own]), np.uint8)]
         last, several = np.full(len(own), -1, np.int64), np.zeros(len(own), bool)
@@ -105,12 +105,10 @@ class Merges:
             again = (best < last) & several
             ended = (best == NONE) | again
             if ended.any():
-                for k in np.flatnonzero(ended):
-                    if again[k]:
-                        alone.append(int(own[k]))
-                    else:
-                        out[own[k]] = flat[starts[k] : starts[k] + sizes[k]]
+                alone += own[again].tolist()
                 stay = np.repeat(~ended, sizes)
+                out = ended & ~again
+                done.append((own[out], sizes[out], flat[np.repeat(out, sizes)]))
                 flat, rank, slots = flat[stay], rank[stay], slots[stay]
                 own, sizes, best = own[~ended], sizes[~ended], best[~ended]
                 if not len(own):
@@ -126,8 +124,20 @@ class Merges:
             stay[hit + 1] = False
             flat, sizes, last, several = flat[stay], sizes - merged, best, merged > 1
         for i in alone:
-            out[i] = self.one(strings[i])
-        return out
+            one = self.one(strings[i])
+            done.append((np.array([i]), np.array([len(one)]), one))
+        counts = np.zeros(len(strings), np.int64)
+        for of, n, _ in done:
+            counts[of] = n
+        starts, out = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int64)
+        for of, n, symbols in done:
+            out[np.repeat(starts[of] - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
+        return out, counts
+
+    def encode(self, strings: list[bytes]) -> list[np.ndarray]:
+        """The symbols of each string."""
+        flat, sizes = self.ragged(strings)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
 
     @cached_property
     def pairs(self) -> dict[int, tuple[int, int]]:
@@ -214,7 +224,16 @@ def matches(text: str, other: Callable[[str], bool]) -> list[str]:
 def pieces(words: Iterable[str], other: Callable[[str], bool]) -> tuple[list[bytes], list[list[int]]]:
     """Distinct matches of the pattern in words, as bytes, and for each word their numbers."""
     numbers: dict[str, int] = {}
-    of = [[numbers.setdefault(p, len(numbers)) for p in matches(w, other)] for w in words]
+    number = numbers.setdefault
+    of = []
+    for w in words:
+        body = w[1:] if w[0] == " " else w
+        if body.isalpha():  # letters are one match, also before one sign at the end
+            of.append([number(w, len(numbers))])
+        elif body[-1:] in SIGNS and body[:-1].isalpha():
+            of.append([number(w[:-1], len(numbers)), number(w[-1], len(numbers))])
+        else:
+            of.append([number(p, len(numbers)) for p in matches(w, other)])
     return [p.encode("utf-8", "surrogatepass") for p in numbers], of
 
 

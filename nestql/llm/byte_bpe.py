@@ -50,15 +50,19 @@ class Encoder:
 
     def __init__(self, path: str):
         self.merges, self.ranks = bpe.from_ranks(path)
+        self.single = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def pieces(self, strings: list[bytes]) -> list[np.ndarray | list[int]]:
-        """Ids of each match: its own where it is a token, else by merging."""
-        out: list = [[self.ranks[s]] if s in self.ranks else None for s in strings]
+    def pieces(self, strings: list[bytes]) -> list[bytes]:
+        """Ids of each match, as little-endian 32-bit integers: its own where it is a token, else by merging."""
+        out = [*map(self.single.get, strings)]
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.merges.encode([strings[i] for i in rest]), strict=True):
-            out[i] = ids
+        flat, sizes = self.merges.ragged([strings[i] for i in rest])
+        ids, at = flat.astype("<u4").tobytes(), 0
+        for i, n in zip(rest, (4 * sizes).tolist(), strict=True):
+            out[i] = ids[at : at + n]
+            at += n
         return out
 
     def learn(self, words: set[str]) -> None:
@@ -68,8 +72,8 @@ class Encoder:
         self.known |= {w: self.old[w] for w in new & self.old.keys()}
         order = list(new - self.known.keys())
         strings, of = bpe.pieces(order, bpe.other_in_tiktoken)
-        ids = [np.asarray(x, "<u4").tobytes() for x in self.pieces(strings)]
-        self.known |= {w: b"".join([ids[i] for i in own]) for w, own in zip(order, of, strict=True)}
+        ids = self.pieces(strings)
+        self.known |= {w: ids[own[0]] if len(own) == 1 else b"".join([ids[i] for i in own]) for w, own in zip(order, of, strict=True)}
 
     def encode(self, split: list[list[str]]) -> list[bytes]:
         """Ids of each list of words as little-endian 32-bit integers."""

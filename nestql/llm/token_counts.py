@@ -13,6 +13,8 @@ replaced, all others are kept.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,19 @@ TOKENIZER = "byte_bpe_50k.json"
 class Counter:
     def __init__(self, path: str):
         self.merges, self.added = bpe.from_json(path)
+        #: Tokens of words: those met lately, and before them.
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
         new = words - self.known.keys()
-        if len(self.known) + len(new) > bpe.MEMORY:
-            self.known.clear()
-            new = words
-        order = list(new)
+        if self.known and len(self.known) + len(new) > bpe.MEMORY:
+            self.old, self.known, new = self.known, {}, words
+        self.known |= {w: self.old[w] for w in new & self.old.keys()}
+        order = list(new - self.known.keys())
         strings, of = bpe.pieces(order, bpe.other_in_tokenizers)
-        counts = [len(x) for x in self.merges.encode(strings)]
-        self.known |= {w: sum(counts[i] for i in ids) for w, ids in zip(order, of, strict=True)}
+        counts = self.merges.ragged(strings)[1].tolist()
+        self.known |= {w: sum([counts[i] for i in ids]) for w, ids in zip(order, of, strict=True)}
 
     def parts(self, text: str) -> tuple[list[str], int]:
         found, out = 0, [text]
@@ -67,12 +71,18 @@ class Counter:
         return [n + sum(map(known, words)) for n, words in zip(totals, split, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def own_counter(path: str) -> Counter:
+    """A worker's own, for all its tasks."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, *, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``."""
     path = path or public_tokenizers.path(TOKENIZER)
 
     def start():
-        counter = Counter(path)
+        counter = own_counter(path)
 
         def run(texts):
             counts = counter(texts)
