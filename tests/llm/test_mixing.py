@@ -95,3 +95,69 @@ def test_unreachable_targets_are_filled_as_far_as_they_go(spark):
     assert np.allclose(p * sums, [40, 6, 4])
     few = M.reachable(np.array([0.1, 2.0, 2.0, 1.0]), np.array([0.5, 0.4, 0.1, 0.0]))
     assert np.allclose(few, [0.1, 0.72, 0.18, 0])
+
+
+def brute_calibrated(sums, values, targets, keep):
+    """Probabilities min(1, product of a factor for each margin value): one factor after the other is set by bisection, again and again."""
+    factors = [np.full(len(t), keep) for t in targets]
+    factors[1:] = [np.ones(len(t)) for t in targets[1:]]
+    budget = keep * sums.sum()
+    for _ in range(200):
+        for m, (v, t) in enumerate(zip(values, targets)):
+            rest = np.prod([f[w] for k, (f, w) in enumerate(zip(factors, values)) if k != m], axis=0)
+            for g in range(len(t)):
+                own = v == g
+                low, high = 0.0, 1e12
+                for _ in range(120):
+                    mid = (low * high) ** 0.5 if low else high * 1e-3
+                    if (np.minimum(1, rest[own] * mid) * sums[own]).sum() < t[g] * budget:
+                        low = mid
+                    else:
+                        high = mid
+                factors[m][g] = high
+        p = np.minimum(1, np.prod([f[v] for f, v in zip(factors, values)], axis=0))
+        if max(np.abs(np.bincount(v, weights=p * sums) - t * budget).max() for v, t in zip(values, targets)) < 1e-9 * budget:
+            break
+    return p
+
+
+def corpus(spark, n=30_000):
+    rows = [(i, "w " * (5 + i % 11) + ("x@y" if i % 13 == 0 else " | " if i % 29 == 0 else ""), f"s{i * i % 17 % 5}", "en" if i % 7 else "de") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+@pytest.mark.parametrize("max_cells", [M.MAX_CELLS, 1])
+def test_kept_share_is_lowered_until_targets_are_met(spark, max_cells):
+    mixed = M.to_targets(corpus(spark, 30_000 if max_cells > 1 else 2000), max_cells=max_cells, **({} if max_cells > 1 else {"targets": {"lang": {"en": 0.5, "de": 0.5}}})).cache()
+    got = M.shares(mixed).toPandas()
+    assert set(got.margin) == set(M.MARGINS) and np.allclose(got.groupby("margin")[["target", "own", "expected", "achieved"]].sum(), 1)
+    assert (got.expected - got.target).abs().max() < 1e-6 and (got.own - got.target).abs().max() > 0.02
+    if max_cells > 1:
+        assert (got.achieved - got.target).abs().max() < 0.01
+    rows = mixed.toPandas()
+    share = (rows.prob * rows.n_tokens).sum() / rows.n_tokens.sum()
+    assert abs(share - min(M.KEEP, M.FILL * (got.own / got.target).min())) < 1e-6 and rows.prob.max() <= 1
+    mixed.unpersist()
+
+
+def test_query_meets_its_targets(spark, sf_dir):
+    out = M.op7_mixing(spark, sf_dir).toPandas()
+    out["source"], out["lang"] = out.source.fillna(""), out.lang.fillna("")
+    cells = out.groupby(list(M.MARGINS)).agg(tokens=("n_tokens", "sum"), prob=("prob", "first"))
+    expected = cells.tokens * cells.prob
+    for m in M.MARGINS:
+        goal = out.groupby(m)[f"target_{m}"].first()
+        assert (expected.groupby(m).sum() / expected.sum() - goal).abs().max() < 1e-4
+    values = [np.unique(cells.reset_index()[m], return_inverse=True)[1] for m in M.MARGINS]
+    sums = cells.tokens.to_numpy(float)
+    have = [np.bincount(v, weights=sums) for v in values]
+    targets = [h**M.TEMPER / (h**M.TEMPER).sum() for h in have]
+    keep = min(M.KEEP, M.FILL * min(float((h / h.sum() / t).min()) for h, t in zip(have, targets)))
+    assert np.abs(brute_calibrated(sums, values, targets, keep) - cells.prob).max() < 1e-5
+
+
+def test_topics_of_a_column(spark):
+    df = corpus(spark, 500).selectExpr("*", "case when doc_id % 5 = 0 then 'law' when doc_id % 5 < 4 then 'sport' end as Subject")
+    out = M.mix(df, topic_column="subject").toPandas()
+    assert set(out.topic) == {"law", "sport", M.OTHER} and (out.topic == "law").sum() == 100
+    assert "subject" in [c.lower() for c in out.columns]
