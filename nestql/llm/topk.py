@@ -1,13 +1,19 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-A block of candidate vectors is indexed by quantised impact: the segment of an
-impact level holds, for each dimension, the candidates whose component has it.
-Queries process the segments by descending impact, each adding its scores to
-the candidates' sums. What a candidate may still gain or lose is bounded by
-Cauchy-Schwarz: the norm of its impacts that aren't processed times the norm of
-the query. Processing stops for a query only when these bounds prove that few
-candidates can be members of its top k, or at the end; the exact scores of
-those that may be members then decide.
+A block of candidate vectors is indexed once by quantised impact: a magnitude is
+the sum of its impacts, powers of two, and the posting segment of an impact and
+a dimension lists the candidates whose component there has that impact, with
+their sign. Queries process the impacts in descending order, for each the
+segments of the dimensions they use, and add to the candidates' sums. Where a
+quarter and more of a block's components share an impact, its segments are laid
+out side by side as a matrix of signs, and queries process them by a product.
+
+What a candidate may still gain or lose is bounded by Cauchy-Schwarz: the norm
+of its impacts that aren't processed times the norm of the query, plus what
+floating-point sums can be off: each adds at most 4096 * 64 products, so by less
+than 2^-34 of the product of norms. Processing stops for a query only when
+these bounds prove that few candidates can be members of its top k, or at the
+end; the exact scores of those that may be members then decide.
 
 Queries in blocks meet candidates in blocks; a pair of blocks is one group,
 whose size the parameters bound, and yields at most k rows a query. The k best
@@ -20,13 +26,16 @@ score beyond 64 bits is held at the limit.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; an empty vector, and components that a shorter vector lacks, count as
-zero; ids that are null take no part; a repeated id counts once for each row,
-and a query's own id, in whatever rows, is no candidate of its; ties go to the
-smaller id; no vectors give no rows; extra columns aren't read.
+zero; a vector much longer than its block's others stays out of the index and is
+scored with every query by itself, so it lengthens none of them; ids that are
+null take no part; a repeated id counts once for each row, and a query's own id,
+in whatever rows, is no candidate of its; ties go to the smaller id; no vectors
+give no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -46,6 +55,12 @@ RESCORE = 8
 UNSEEN = 5
 #: Queries that process a segment at once.
 TOGETHER = 256
+#: Of a block's components, the part that shares an impact from which its segments are a matrix: one in so many.
+DENSE = 4
+#: What sums of floating-point products may be off, relative to the product of norms: at most 2^18 roundings of 2^-53 each.
+OFF = 2.0**-34
+#: Longest vector of an index, and the padding that an index may need as a multiple of what vectors hold.
+WIDEST, PADDING = 4096, 8
 #: Magnitude of components up to which a product sum of 64-bit integers can't overflow in 4096 dimensions.
 SAFE = 1 << 25
 _MOST = (1 << 63) - 1
@@ -54,28 +69,46 @@ _QB, _CB, _ROLE, _X, _N = (OWN + x for x in ("qb", "cb", "role", "x", "n"))
 
 
 class Index:
-    """Posting segments of a block of integer vectors (rows), by impact level.
-
-    A magnitude is the sum of its impacts, powers of two. The segment of a
-    level holds, for each dimension, the candidates whose magnitude has that
-    bit, with their sign; it is kept as a matrix, so that all queries of a
-    block process it at once.
-    """
+    """Posting segments of a block of integer vectors (rows), by impact level and dimension."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
         if x.dtype == object:
             return
-        self.magnitude, self.sign = np.abs(x), np.sign(x)
-        self.levels = int(self.magnitude.max(initial=0)).bit_length()
-
-    def segment(self, level: int) -> np.ndarray:
-        return (((self.magnitude >> level) & 1) * self.sign).astype(np.float64) * float(1 << level)
+        magnitude, sign = np.abs(x), np.sign(x).astype(np.int8)
+        self.levels = int(magnitude.max(initial=0)).bit_length()
+        #: For each level: signs as a matrix, or (ends of the dimensions' lists, candidates, signs).
+        self.segments: list[np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: For each level: the norm of what the levels below it hold of each candidate.
+        self.rests = []
+        for level in range(self.levels):
+            held = ((magnitude >> level) & 1).astype(bool)
+            if np.count_nonzero(held) * DENSE >= held.size:
+                self.segments.append(np.where(held, sign, np.int8(0)))
+            else:
+                dims, rows = np.nonzero(held.T)
+                self.segments.append((np.cumsum(np.bincount(dims, minlength=x.shape[1])), rows.astype(np.int32), sign[rows, dims]))
+            self.rests.append(norms(magnitude & ((1 << level) - 1)))
+        self.size = norms(magnitude)
 
-    def rest(self, level: int) -> np.ndarray:
-        """Norm of what the levels below ``level`` hold of each candidate."""
-        below = (self.magnitude & ((1 << level) - 1)).astype(np.float64)
-        return np.sqrt(np.einsum("ij,ij->i", below, below))
+    def process(self, sums: np.ndarray, weight: np.ndarray, level: int) -> None:
+        """Add to the sums (query x candidate) what the segments of a level hold."""
+        segment, impact = self.segments[level], float(1 << level)
+        if isinstance(segment, np.ndarray):
+            used = weight.any(axis=0)
+            if used.all():
+                sums += (weight * impact) @ segment.T.astype(np.float64)
+            elif used.any():
+                sums += (weight[:, used] * impact) @ segment[:, used].T.astype(np.float64)
+            return
+        ends, rows, signs = segment
+        start = 0
+        for d, end in enumerate(ends.tolist()):
+            if end > start:
+                asks = np.flatnonzero(weight[:, d])
+                if len(asks):  # a list holds a candidate once
+                    sums[np.ix_(asks, rows[start:end])] += np.outer(weight[asks, d] * impact, signs[start:end])
+            start = end
 
     def members(self, q: np.ndarray, k: int, own: list[np.ndarray]) -> list[np.ndarray]:
         """For each query (row of q) the rows that may be among its k best; ``own`` rows are not candidates."""
@@ -85,18 +118,16 @@ class Index:
             return out
         asked = np.array([i for i in range(len(q)) if len(out[i]) > few], np.int64)
         weight = q.astype(np.float64)
-        norm = np.sqrt(np.einsum("ij,ij->i", weight, weight))
+        norm = norms(q)
         sums = np.zeros((len(asked), n))
         for i, a in enumerate(asked):
             sums[i, own[a]] = -np.inf
-        size = np.sqrt(np.einsum("ij,ij->i", self.magnitude.astype(np.float64), self.magnitude.astype(np.float64)))
         for level in range(self.levels - 1, -1, -1):
-            sums += weight[asked] @ self.segment(level).T
+            self.process(sums, weight[asked], level)
             if level and self.levels - level < UNSEEN:
                 continue  # no bound can prove much yet
-            bound = norm[asked][:, None] * (self.rest(level) + 1e-12 * size)[None, :] + 1e-6
-            low = sums - bound
-            need = np.partition(low, n - k, axis=1)[:, n - k]
+            bound = norm[asked][:, None] * (self.rests[level] + OFF * self.size)[None, :] * (1 + OFF)
+            need = np.partition(sums - bound, n - k, axis=1)[:, n - k]
             may = sums + bound >= np.maximum(need, -1e300)[:, None]
             ended = (may.sum(axis=1) <= few) | (level == 0)
             for i in np.flatnonzero(ended):
@@ -109,7 +140,7 @@ class Index:
     def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         part = self.x[rows]
         if self.x.dtype == object or q.dtype == object:
-            return np.array([min(max(sum(int(a) * int(b) for a, b in zip(r, q, strict=True)), -_MOST - 1), _MOST) for r in part], np.int64)
+            return np.array([held(sum(int(a) * int(b) for a, b in zip(r, q, strict=True))) for r in part], np.int64)
         return part @ q
 
     def best(self, q: np.ndarray, k: int, rows: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
@@ -119,11 +150,32 @@ class Index:
         return [(int(scores[i]), int(ids[rows[i]])) for i in order]
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    y = x.astype(np.float64)
+    return np.sqrt(np.einsum("ij,ij->i", y, y))
+
+
+def width_of(lengths: np.ndarray) -> int:
+    """The longest vector that an index takes in: padding others to it must not make the index much larger than its vectors."""
+    ordered = np.sort(lengths[lengths <= WIDEST])
+    fits = np.flatnonzero(ordered * np.arange(1, len(ordered) + 1) <= PADDING * np.cumsum(ordered))
+    return int(ordered[fits[-1]]) if len(fits) else 0
+
+
+def scaled(vector) -> list[int]:
+    """The quantised components of one vector as Python integers."""
+    return [int(v) for v in np.floor(np.asarray(vector, np.float64) * SCALE).tolist()]
+
+
+def held(score: int) -> int:
+    return min(max(score, -_MOST - 1), _MOST)
+
+
 def matrix(values, width: int) -> np.ndarray:
     """Quantised vectors as rows; Python integers where 64-bit sums could overflow."""
     out = np.zeros((len(values), width))
     for i, v in enumerate(values):
-        out[i, : len(v)] = v
+        out[i, : min(len(v), width)] = v[:width]
     out = np.floor(out * SCALE)
     if np.abs(out).max(initial=0.0) <= SAFE and width <= 4096:
         return out.astype(np.int64)
@@ -158,20 +210,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = K, block: int = BL
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         role = frame[_ROLE].to_numpy()
         ids, values = frame[_N].to_numpy(), frame[_X].to_numpy()
-        width = max(map(len, values))
+        lengths = np.fromiter(map(len, values), np.int64, len(values))
         cand, asks = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         rows = []
-        if len(cand):
-            cand = cand[np.argsort(ids[cand], kind="stable")]
-            index, own_ids = Index(matrix(values[cand], width)), ids[cand]
-            q = matrix(values[asks], width)
+        width = width_of(lengths[cand])
+        long = cand[lengths[cand] > width]
+        cand = cand[lengths[cand] <= width]
+        cand = cand[np.argsort(ids[cand], kind="stable")]
+        index, own_ids = Index(matrix(values[cand], width)), ids[cand]
+        for at in range(0, len(asks) if len(cand) else 0, TOGETHER):
+            some = asks[at : at + TOGETHER]
+            q = matrix(values[some], width)
             if q.dtype != index.x.dtype:
                 q = q.astype(object)
-            own = [np.arange(*np.searchsorted(own_ids, [ids[a], ids[a] + 1])) for a in asks]
-            for at in range(0, len(asks), TOGETHER):
-                may = index.members(q[at : at + TOGETHER], k, own[at : at + TOGETHER])
-                for i, members in enumerate(may, at):
-                    rows += [(int(ids[asks[i]]), v, s) for s, v in index.best(q[i], k, members, own_ids)]
+            own = [np.arange(*np.searchsorted(own_ids, [ids[a], ids[a] + 1])) for a in some]
+            for i, members in enumerate(index.members(q, k, own)):
+                rows += [(int(ids[some[i]]), v, s) for s, v in index.best(q[i], k, members, own_ids)]
+        for c in long:  # few, or few rows fit in their block
+            x = scaled(values[c])
+            rows += [(int(ids[a]), int(ids[c]), held(sum(map(mul, x, scaled(values[a][: len(x)]))))) for a in asks if ids[a] != ids[c]]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     pairs = left.unionByName(right).groupBy(_QB, _CB)

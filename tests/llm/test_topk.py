@@ -53,6 +53,50 @@ def test_large_components_and_repeated_rows(spark):
     assert [(s, i) for _, _, i, s in got] == [(-s, i) for s, i in want]
 
 
+def test_very_long_vectors_lengthen_no_others(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    rows += [(200, [rng.gauss(0, 1) for _ in range(300_000)]), (210, [0.5] * 250_000), (211, []), (220, [rng.gauss(0, 1) for _ in range(40)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, T.top_k(df, df.filter("vec_id % 10 = 0"), k=4).collect()))
+    assert got == brute(rows, set(range(0, 300, 10)), 4)
+    lengths = np.array([6] * 120 + [300_000, 40, 0])
+    assert T.width_of(lengths) == 40 and T.width_of(np.array([0, 0])) == 0 and T.width_of(np.array([9000])) == 0 and T.width_of(np.array([5, 4096])) == 4096
+    assert T.width_of(np.array([6] * 120 + [4096])) == 6
+
+
+def test_segments_hold_the_impacts():
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(200, 9)) * 900).astype(np.int64)
+    x[:, 3] = 0
+    index = T.Index(x)
+    assert {isinstance(s, tuple) for s in index.segments} == {True, False}
+    q = rng.integers(-50, 50, (5, 9)).astype(float)
+    q[:, 4] = 0
+    q[2] = 0
+    sums, seen = np.zeros((5, 200)), 0
+    for level in range(index.levels - 1, -1, -1):
+        index.process(sums, q, level)
+        seen |= 1 << level
+        part = np.sign(x) * (np.abs(x) & seen)
+        assert np.array_equal(sums, q @ part.T)
+        assert np.allclose(index.rests[level], np.linalg.norm(np.abs(x) & ~seen, axis=1))
+
+
+@pytest.mark.parametrize("scale", [1, 2**12, 2**24])
+def test_bounds_are_proofs(scale):
+    """Close scores of large components, where floating-point sums round."""
+    rng = np.random.default_rng(scale)
+    base = rng.integers(-scale, scale, 64)
+    x = base + rng.integers(-1, 2, (500, 64))
+    may = T.Index(x).members(x[:20], 10, [np.array([i]) for i in range(20)])
+    for i, rows in enumerate(may):
+        scores = [sum(int(a) * int(b) for a, b in zip(r, x[i])) for r in x]
+        best = sorted((j for j in range(500) if j != i), key=lambda j: (-scores[j], j))[:10]
+        least = scores[best[-1]]
+        assert {j for j in range(500) if j != i and scores[j] >= least} <= set(rows.tolist())
+
+
 def test_query_matches_brute_force(spark, sf_dir):
     x = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
     got = sorted(map(tuple, T.op1_topk_search(spark, sf_dir).collect()))
