@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
 Documents are taken in batches of ascending ``doc_id``. A batch's line keys are
-hashed to 128 bits and reduced to their first holder; keys that an earlier run
-holds leave by a merge anti-join, the rest become a new run: a table bucketed
-and sorted by hash. Runs of one level are compacted into one of the next when
+hashed to 128 bits and reduced to their first holder, which deals them out as
+runs are; keys that an earlier run holds leave by a merge anti-join, the rest
+become a new run: a table bucketed and sorted by hash, a file a bucket, so that
+joins read runs as they lie, without an exchange or a sort. Runs of one level are compacted into one of the next when
 ``fanout`` of them have gathered. As batches ascend, a key sits in exactly one
 run, with the smallest ``doc_id`` that holds it. A line goes if its
 (hash, document) isn't in the runs; this anti-join is keyed by document too, so
@@ -19,6 +20,8 @@ package's own columns are replaced.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from nestql.llm.common import BLANKS, LOWER, OWN, UPPER, removed, scratch_path, table, tidy, with_outputs, written
 
 MIN_CHARS = 10
-BATCHES = 4
+#: Batches at least, and documents of a batch at most.
+BATCHES, BATCH_DOCS = 4, 200_000_000
 FANOUT = 2
 
 _H1, _H2, _DOC, _TEXT, _POS, _BATCH = (OWN + x for x in ("h1", "h2", "doc", "of", "pos", "batch"))
@@ -38,6 +42,21 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile take the order of a bucket's one file as given."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Runs:
     """Levelled sorted runs: (hash, first holder), each key in one run."""
 
@@ -84,7 +103,7 @@ class Runs:
         return out
 
     def drop(self) -> None:
-        for name in self.names():
+        for name in [*self.paths]:
             self._drop(name)
         self.levels = []
 
@@ -96,10 +115,9 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = B
     text = F.coalesce(F.col("text"), F.lit(""))
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(_DOC), F.xxhash64(text).alias(_TEXT)]
 
-    bounds: list[int] = []
-    if batches > 1:
-        at = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()
-        bounds = sorted({int(x) for x in (at.q or [])})
+    seen = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 10_000).alias("q")).first()
+    n = max(batches, -(-seen.n // BATCH_DOCS)) if batches > 1 else 1
+    bounds = sorted({int(seen.q[min(998, 1000 * i // n - 1)]) for i in range(1, n)} if seen.q else set())
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col(_DOC) > b).cast("int")
@@ -107,17 +125,19 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = B
     lines = lines.select(_DOC, _TEXT, _POS, line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
     lines = lines.select(_DOC, _TEXT, _POS, F.xxhash64("k").alias(_H1), F.xxhash64(F.lit(1), F.col("k")).alias(_H2), batch.alias(_BATCH))
     path = scratch_path(spark, "lines")
-    lines.write.partitionBy(_BATCH).parquet(path)
-    lines = spark.read.schema(lines.schema).parquet(path)
-
     runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    for i in range(len(bounds) + 1):
-        of_batch = lines.filter(F.col(_BATCH) == i)
-        runs.add(of_batch.groupBy(_H1, _H2).agg(F.min(_DOC).alias(_DOC)))
-    gone = lines.join(runs.rows(), [_H1, _H2, _DOC], "left_anti")
-    gone = written(gone.groupBy(_DOC, _TEXT).agg(F.collect_set(_POS).alias(OWN + "gone")), "gone")
-    runs.drop()
-    removed(spark, path)
+    try:
+        lines.write.partitionBy(_BATCH).parquet(path)
+        lines = spark.read.schema(lines.schema).parquet(path)
+        with ordered_buckets(spark):
+            for i in range(len(bounds) + 1):
+                of_batch = lines.filter(F.col(_BATCH) == i)
+                runs.add(of_batch.groupBy(_H1, _H2).agg(F.min(_DOC).alias(_DOC)))
+            gone = lines.join(runs.rows(), [_H1, _H2, _DOC], "left_anti")
+            gone = written(gone.groupBy(_DOC, _TEXT).agg(F.collect_set(_POS).alias(OWN + "gone")), "gone")
+    finally:
+        runs.drop()
+        removed(spark, path)
 
     parts = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(OWN + "gone"))

@@ -1,8 +1,11 @@
 import hashlib
+import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from nestql.llm import common as S
 from nestql.llm import line_dedup as L
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -45,6 +48,61 @@ def test_runs_hold_each_key_once(spark):
     runs.drop()
 
 
+def test_runs_are_read_as_they_lie(spark):
+    """A merge anti-join neither deals a run out again nor sorts it."""
+    runs = L.Runs(spark, 4, 9)
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias(L._H1), F.xxhash64(F.lit(1), "id").alias(L._H2), F.col("id").alias(L._DOC))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with L.ordered_buckets(spark):
+            runs.add(keys(0, 500))
+            runs.add(keys(300, 900).groupBy(L._H1, L._H2).agg(F.min(L._DOC).alias(L._DOC)))
+            more = keys(700, 1200).groupBy(L._H1, L._H2).agg(F.min(L._DOC).alias(L._DOC))
+            for name in runs.names():
+                more = more.join(spark.table(name), [L._H1, L._H2], "left_anti")
+            plan = more._jdf.queryExecution().executedPlan().toString()
+            got = more.count()
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
+        assert got == 300 and runs.rows().count() == 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        runs.drop()
+
+
+def test_failures_leave_no_tables(spark, tmp_path):
+    before = {t.name for t in spark.catalog.listTables()}
+    df = spark.range(40).selectExpr("id as doc_id", "concat('a line of some length ', id) as text")
+    root = S.scratch_root(spark)
+    held = set(os.listdir(root.removeprefix("file:")))
+    real, calls = L.Runs.add, []
+
+    def failing(self, keys):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        real(self, keys)
+
+    L.Runs.add = failing
+    try:
+        with pytest.raises(RuntimeError):
+            L.dedup_lines(df)
+    finally:
+        L.Runs.add = real
+    assert {t.name for t in spark.catalog.listTables()} == before and set(os.listdir(root.removeprefix("file:"))) == held
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_batches_hold_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(L, "BATCH_DOCS", 7)
+    rows = [(i, f"shared line of all\nline of {i // 3} and others\nown line number {i}") for i in range(100)]
+    met, real = [], L.Runs.add
+    monkeypatch.setattr(L.Runs, "add", lambda self, keys: met.append(1) or real(self, keys))
+    out = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(met) == 15
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect()), key=str) == brute(rows)
+
+
 def test_main_path_is_native(spark, sf_dir):
     plan = L.op3_line_dedup(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
