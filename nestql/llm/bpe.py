@@ -25,7 +25,7 @@ NONE = np.iinfo(np.int32).max
 #: Bytes beyond which a string is merged by itself.
 LONG_BYTES = 4096
 #: Entries of either half of a worker's memory of encoded words: the older half goes when the newer is full.
-MEMORY = 150_000
+MEMORY = 100_000
 #: Characters of a text that are split into words at one time.
 WINDOW = 1 << 20
 

@@ -25,7 +25,6 @@ are replaced, others are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +85,6 @@ class Encoder:
         return self.encode([words_of(t, chunk, overlap) if t else [] for t in texts])
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """A worker's own, for all its tasks."""
-    return Encoder(path)
-
-
 def decoded(ids: bytes | None, words: list[bytes]) -> bytes:
     """The bytes of ids, joined."""
     return b"".join([words[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
@@ -168,7 +161,7 @@ def encode(docs: DataFrame, *, path: str | None = None, chunk: int = CHUNK, over
     docs = tidy(docs, "text")
 
     def start():
-        own = encoder(path)
+        own = Encoder(path)
 
         def run(texts):
             ids = own.texts(texts, chunk, overlap)
@@ -220,18 +213,19 @@ def dealt(long: DataFrame, path: str, chunk: int, overlap: int, segment: int) ->
     of = marks.select(_UID, _K, _RUN).join(runs, [_UID, _RUN])
     pieces = parts.join(of, [_UID, _K]).select(_UID, _RUN, _CUT, OWN + "end", _N, _K, _START, _PART, _SIZES)
 
-    def ids_of(words: list[str], at: int, cut: int, end: int | None) -> bytes:
+    def ids_of(encoder: Encoder, words: list[str], at: int, cut: int, end: int | None) -> bytes:
         ends = at + np.cumsum(list(map(len, words)))
         first = int(np.searchsorted(ends, cut, side="right"))
         last = len(words) if end is None else int(np.searchsorted(ends, end, side="right"))
-        return encoder(path).encode([words[first:last]])[0]
+        return encoder.encode([words[first:last]])[0]
 
     def single(batches):
+        encoder = Encoder(path)
         for batch in batches:
             for uid, run, cut, end, _, _, at, part, sizes in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
                 places = np.cumsum([0, *sizes]).tolist()
                 words = [part[a:b] for a, b in zip(places, places[1:], strict=False)]
-                yield pa.RecordBatch.from_pydict({_UID: [uid], _RUN: [run], _IDS: [ids_of(words, at, cut, end)]})
+                yield pa.RecordBatch.from_pydict({_UID: [uid], _RUN: [run], _IDS: [ids_of(encoder, words, at, cut, end)]})
 
     def several(key, frame):
         import pandas as pd
@@ -239,7 +233,7 @@ def dealt(long: DataFrame, path: str, chunk: int, overlap: int, segment: int) ->
         frame = frame.sort_values(_K)
         text = "".join([p[:segment] for p in frame[_PART][:-1]]) + frame[_PART].iloc[-1]
         end = frame[OWN + "end"].iloc[0]
-        ids = ids_of(words_of(text, chunk, overlap), int(frame[_START].iloc[0]), int(frame[_CUT].iloc[0]), None if pd.isna(end) else int(end))
+        ids = ids_of(Encoder(path), words_of(text, chunk, overlap), int(frame[_START].iloc[0]), int(frame[_CUT].iloc[0]), None if pd.isna(end) else int(end))
         return pd.DataFrame({_UID: [key[0]], _RUN: [key[1]], _IDS: [ids]})
 
     out = f"{_UID} long, {_RUN} long, {_IDS} binary"

@@ -52,7 +52,7 @@ CALIBRATE = 5
 #: A text is rejected beyond this factor of the highest cross-entropy in calibration.
 SLACK = 1.5
 #: Words in either half of a worker's memory of scored words: the older half goes when the newer is full.
-MEMORY = 200_000
+MEMORY = 100_000
 UNKNOWN = "und"
 
 _word = re.compile(r"[^\W\d_]+")
@@ -101,8 +101,6 @@ class Model:
     floor: np.ndarray
     curve: tuple[float, float] = (1.0, 0.0)
     limits: np.ndarray | None = None
-    #: A worker's own, never shipped.
-    scorer: Scorer | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """The negative log-probability of each word in each language."""
@@ -322,10 +320,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def start():
-        m = shared.value  # one object for all tasks of a worker, and so one memory
-        if m.scorer is None:
-            m.scorer = Scorer(m)
-        scorer = m.scorer
+        scorer = Scorer(shared.value)
+        m = scorer.model
         (a, b), limits = m.curve, m.limits
 
         def run(texts):

@@ -105,3 +105,70 @@ def test_query_matches_brute_force(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(P.joined(want).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in want) for k in P.KINDS)
         assert set(P.joined(want).split(",")) - {""} <= set(r.spans.split(","))
+
+
+def planted(n, seed):
+    rng = random.Random(seed)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("aeioustnr") for _ in range(rng.randrange(2, 8)))
+    keys, texts = [], []
+    for i in range(n):
+        k, plain = key(), f"{word()} {rng.randrange(100)} {word()} v{rng.randrange(99)}.{rng.randrange(9)} {rng.randrange(1990, 2030)}"
+        form = (f'token = "{k}"', f"password={k[:14]}", f"api_key: {k}", f"secret => '{k[:20]}'")[i % 4]
+        keys.append(k if i % 4 in (0, 2) else k[:14] if i % 4 == 1 else k[:20])
+        texts.append(f"{plain} {form} {plain}\n{word()} mail{i}@example.com {plain} 10.0.{i % 250}.7")
+    return texts, keys
+
+
+def test_secrets_are_found_by_their_context_and_where_they_repeat():
+    texts, _ = planted(400, 1)
+    field = P.fit(texts)
+    more, keys = planted(200, 2)
+    context = repeats = alone = 0
+    for text, key in zip(more, keys):
+        text = f"{key} comes first, {text} and once more {key}."
+        found = {text[a:b] if k == "secret" else None for k, a, b in P.added_spans(text, P.base_spans(text), field)}
+        places = [a for k, a, b in P.added_spans(text, P.base_spans(text), field) if k == "secret" and text[a:b] == key]
+        context += key in found
+        repeats += len(places) == 3
+        alone += bool(P.added_spans(f"nothing {key[:9]} here 1234 v1.2 2021", [], field))
+    assert context >= 0.95 * len(keys) and repeats >= 0.9 * len(keys) and alone == 0
+
+
+def test_skip_links_carry_what_context_tells():
+    """Without the skip potential, secrets that repeat without context are lost."""
+    texts, _ = planted(400, 3)
+    field = P.fit(texts)
+    bare = P.Field(field.unary, field.chain, np.zeros_like(field.skip))
+    more, keys = planted(100, 4)
+    count = lambda f: sum(k == "secret" for text, key in zip(more, keys) for k, _, _ in P.added_spans(f"{key[:12]} x {text.replace(key, key[:12])} y {key[:12]}", [], f))
+    assert count(field) > count(bare) + 100
+
+
+def test_chain_knows_every_neighbour():
+    text = 'call +1 (234) 555-7788 or a1b2c3 100 200\nx 300'
+    found, _ = P.tokens(text)
+    assert [text[a:b] for a, b in found] == ["+1", "(234", "555-7788", "a1b2c3", "100", "200", "300"]
+    chain, groups, sides = P.links(text, found)
+    assert chain == [(0, 1), (1, 2), (3, 4), (4, 5)] and groups == []
+    assert sides.tolist() == [[1, 0], [0, 0], [0, 1], [1, 0], [0, 0], [0, 1], [1, 0]]
+
+
+def test_samples_are_bounded(spark):
+    rows = [(1, "a@b.co 1234")] * 500 + [(i, f"mail{i}@b.co 10.0.0.1 " * (1 + i % 40)) for i in range(2, 600)] + [(900, "9999 " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.sample(df, sample_docs=200, sample_chars=5000, total_chars=40_000)
+    assert len(got) == len(set(got)) and 0 < sum(map(len, got)) <= 40_000 and max(map(len, got)) <= 5000
+
+
+def test_query_finds_what_is_planted(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id")
+    out = P.op8_pii(spark, sf_dir).toPandas().set_index("doc_id").loc[docs.index]
+    forms = (r"\w@\w", r"\b\d+\.\d+\.\d+\.\d+\b", r"\+1 \(", r'token = "', r"password=", r"\bAKIA[A-Z0-9]{16}")
+    want = [any(re.search(f, t) for f in forms) or any(P.luhn(x) for x in re.findall(r"\b[0-9]{16}\b", t)) for t in docs.text]
+    hit = [n > 0 for n in out.n_spans]
+    assert sum(want) >= 5 and sum(w and h for w, h in zip(want, hit)) >= 0.95 * sum(want)
+    assert sum(h and not w for w, h in zip(want, hit)) <= 0.01 * len(want)
+    secrets = {(i, m.start(1), m.end(1)) for i, t in docs.text.items() for m in re.finditer(r'token = "([0-9a-f]+)"', t)}
+    found = {(i, *map(int, s.split(":")[1:])) for i, spans in out.spans.items() for s in spans.split(",") if s.startswith("secret")}
+    assert len(secrets & found) >= 0.9 * len(secrets)
