@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_folders: set[tuple[str, str]] = set()
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
@@ -28,4 +30,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/nestql-{what}-{uuid.uuid4().hex[:12]}"
+    """A path for one table, in a folder of this application that goes when its driver ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{scratch_root(spark).rstrip('/')}/nestql-{app}"
+    if (app, root) not in _folders:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(root)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _folders.add((app, root))
+    return f"{root}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
