@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nestql.sources.scratch import scratch_path
+
 #: Prefix of the columns that operators add for their own use.
 OWN = "__nq_"
 #: Rows of an Arrow batch that Python code holds as objects at one time.
@@ -61,35 +62,16 @@ def with_outputs(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in low]
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        sc = spark.sparkContext
-        set_dir = sc._jsc.sc().getCheckpointDir()
-        if set_dir.isDefined():
-            return set_dir.get()
-        path = tempfile.mkdtemp(prefix="nestql-checkpoint-")
-        sc.setCheckpointDir(path)
-        return scratch_root(spark)
-    return path
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/nestql-{what}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written_at(df, what)[0]
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """As ``written``, and the path, for tables that are removed before the driver ends."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def ship(spark: SparkSession) -> None:

@@ -26,7 +26,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestql.llm.common import BLANKS, LOWER, OWN, UPPER, removed, scratch_path, table, tidy, with_outputs, written
+from nestql.llm.common import BLANKS, LOWER, OWN, UPPER, table, tidy, with_outputs, written
+from nestql.sources.scratch import removed, scratch_path
 
 MIN_CHARS = 10
 #: Batches at least, and documents of a batch at most.

@@ -30,7 +30,8 @@ documents) and broadcast; more of them are raked by joins in the shared folder.
 
 Defined cases: a null source or language counts as the empty string; a text
 that is null or has no word has no tokens and takes its cell's probability,
-``KEEP`` if its cell has no tokens at all; values without a target get none of
+the kept share if its cell has no tokens at all; texts of any length are counted
+whole; values without a target get none of
 the mix; a null ``doc_id`` draws the same number always; repeated rows share one
 decision; no documents give no rows; input columns named like an output are
 replaced, all others are kept.

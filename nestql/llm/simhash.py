@@ -25,7 +25,9 @@ Defined cases: a text without words (null, empty, blanks) has fingerprint zero,
 which links like any other; fewer words than a shingle make one shingle of
 them; a null ``doc_id`` has a fingerprint but no component (null); repeated rows
 give a row each; no documents give no rows; extra columns aren't returned by
-``fingerprints`` and ``components`` and are kept by ``drop_near_duplicates``.
+``fingerprints`` and ``components`` and are kept by ``drop_near_duplicates``;
+texts of any length are fingerprinted whole, their hashes counted 65,536 at a
+time.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from nestql.llm.common import OWN, map_texts, ship, table, tidy, utf8, written
+from nestql.llm.common import OWN, map_texts, ship, table, tidy, utf8, written, written_at
+from nestql.sources.scratch import removed
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -261,30 +264,42 @@ def component_labels(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star; the minima are a written table, so a
     join with a hub's edges is one that Spark can split.
     """
-    edges = written(edges.filter(F.col(_A) != F.col(_B)), "edges")
+    spark, made = edges.sparkSession, []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        out, path = written_at(df, what)
+        made.append(path)
+        return out
+
+    edges = kept(edges.filter(F.col(_A) != F.col(_B)), "edges")
     least = OWN + "least"
 
     def minima(pairs: DataFrame) -> DataFrame:
-        return written(pairs.groupBy(_A).agg(F.least(F.min(_B), F.col(_A)).alias(least)), "minima")
+        return kept(pairs.groupBy(_A).agg(F.least(F.min(_B), F.col(_A)).alias(least)), "minima")
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64(_A, _B).cast("decimal(38,0)"))).first())
 
     before = mark(edges)
     while before[0]:
+        done, made = made, []
         both = edges.unionByName(edges.select(F.col(_B).alias(_A), F.col(_A).alias(_B)))
         # large star: every larger neighbour of a node goes to the node's minimum
         star = both.filter(F.col(_B) > F.col(_A)).join(minima(both), _A).select(F.col(least).alias(_A), _B)
-        star = written(star.filter(F.col(_A) != F.col(_B)).distinct(), "star")
+        star = kept(star.filter(F.col(_A) != F.col(_B)).distinct(), "star")
         # small star: a node and its smaller neighbours go to their minimum
         down = star.select(F.col(_B).alias(_A), F.col(_A).alias(_B))
         low = minima(down)
         small = down.join(low, _A).select(F.col(least).alias(_A), F.explode(F.array(_A, _B)).alias(_B))
-        edges = written(small.filter(F.col(_A) != F.col(_B)).distinct(), "edges")
+        edges = kept(small.filter(F.col(_A) != F.col(_B)).distinct(), "edges")
         after = mark(edges)
+        for path in done:  # of the round before
+            removed(spark, path)
         if after == before:
             break
         before = after
+    for path in made[:-1]:
+        removed(spark, path)
     return edges
 
 

@@ -5,8 +5,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from nestql.llm import common as S
 from nestql.llm import line_dedup as L
+from nestql.sources.scratch import scratch_path
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -73,8 +73,8 @@ def test_runs_are_read_as_they_lie(spark):
 def test_failures_leave_no_tables(spark, tmp_path):
     before = {t.name for t in spark.catalog.listTables()}
     df = spark.range(40).selectExpr("id as doc_id", "concat('a line of some length ', id) as text")
-    root = S.scratch_root(spark)
-    held = set(os.listdir(root.removeprefix("file:")))
+    root = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+    held = set(os.listdir(root))
     real, calls = L.Runs.add, []
 
     def failing(self, keys):
@@ -89,7 +89,7 @@ def test_failures_leave_no_tables(spark, tmp_path):
             L.dedup_lines(df)
     finally:
         L.Runs.add = real
-    assert {t.name for t in spark.catalog.listTables()} == before and set(os.listdir(root.removeprefix("file:"))) == held
+    assert {t.name for t in spark.catalog.listTables()} == before and set(os.listdir(root)) == held
     assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
 
 
