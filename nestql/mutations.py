@@ -123,8 +123,8 @@ class Mutations:
         if not rows.limit(1).count():
             return key
         types = {f.name: f.dataType for f in rows.schema}
-        tx.append(entity.table, rows.withColumns({c: literal(v, entity.by_source(c).type).cast(types[c]) for c, v in given.items()}))
-        tx.delete(entity.table, keys_of(rows, entity.primary_key))
+        changed = rows.withColumns({c: literal(v, entity.by_source(c).type).cast(types[c]) for c, v in given.items()})
+        tx.update(entity.table, changed, entity.primary_key, list(given))
         tx.commit()
         return key
 

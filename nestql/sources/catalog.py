@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +61,11 @@ class FrameTransaction(FrameCatalog):
         self.gone.setdefault(name, []).append(keys)
         return keys
 
+    def update(self, name: str, rows: DataFrame, keys: Sequence[str], changed: Sequence[str]) -> None:
+        """``rows``, with the changed values, take the place of those with their keys."""
+        self.append(name, rows)
+        self.delete(name, rows.select(*[f"`{c}`" for c in keys]).distinct())
+
     def commit(self, next_ids: dict[str, int] | None = None) -> None:
         if any(self.catalog.tables.get(n) is not self.read.get(n) for n in {*self.gone, *self.added}):
             raise Conflict
@@ -95,21 +100,3 @@ class DerivedCatalog:
 def pinned(catalog):
     """A catalog as it is now, for one document; catalogs without versions are read as they are."""
     return catalog.snapshot() if hasattr(catalog, "snapshot") else catalog
-
-
-class JdbcCatalog:
-    """Tables of a database; filters and column choices are pushed down to it.
-
-    ``partitions`` names for a table the numeric column, bounds and number of
-    parallel reads: (column, lower, upper, n).
-    """
-
-    def __init__(self, spark: SparkSession, url: str, properties: dict[str, str] | None = None, partitions: dict[str, tuple[str, int, int, int]] | None = None):
-        self.spark, self.url, self.properties, self.partitions = spark, url, properties or {}, partitions or {}
-
-    def table(self, name: str) -> DataFrame:
-        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=name, **self.properties)
-        if name in self.partitions:
-            column, lower, upper, n = self.partitions[name]
-            reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=n)
-        return reader.load()

@@ -1,8 +1,8 @@
 """Inference of entities from existing tables, and their declarations as text.
 
 ``python -m nestql.sources.infer <source> [schema]`` prints them. A source is a
-folder of Parquet tables, the path of an SQLite file, or a postgres:// URL,
-which is read by JDBC where a driver is at hand.
+folder of Parquet tables, the path of an SQLite file, or a postgres:// or
+mysql:// URL, which is read by JDBC where a driver is at hand.
 
 Parquet has neither keys nor links. They are taken from a configuration, or
 guessed: a table's key is its first column if its values are unique and named
@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import sqlite3
 import sys
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -65,6 +65,8 @@ class ForeignKey:
 def backend(source: str) -> str:
     if re.match(r"postgres(ql)?://", source):
         return "postgres"
+    if re.match(r"(mysql|mariadb)://", source):
+        return "mysql"
     return "sqlite" if re.search(r"\.(db|sqlite3?)$|^sqlite:", source) else "parquet"
 
 
@@ -86,27 +88,37 @@ def usable_links(links: Iterable[ForeignKey], tables: dict[str, TableInfo]) -> l
 # -- types of databases ----------------------------------------------------------
 
 
-#: Patterns of declared types, the first that matches the whole lower-cased type counts.
-SQLITE_TYPES = (
-    ("Boolean", r"boolean|.*(tiny.*int|int.*tiny).*"),
-    ("SmallInt", r"int2|.*(small.*int|int.*small).*"),
-    ("BigInt", r"int8|.*(big.*int|int.*big).*"),
-    ("Int", r".*int.*"),
-    ("String", r".*(char|clob|text).*"),
-    ("Binary", r"|.*(blob|binary).*"),
-    ("Float", r".*(float|real).*"),
-    ("Double", r".*(double|num|dec).*"),
-    ("NaiveDateTime", r"datetime|timestamp"),
-    ("Date", r"date"),
-    ("Time", r"time"),
-)
+#: SQLite's rule of affinity. A declared type that holds one of a row's words has its affinity; earlier rows go first.
+AFFINITIES = {"INTEGER": ("int",), "TEXT": ("char", "clob", "text"), "BLOB": ("blob",), "REAL": ("real", "floa", "doub")}
+#: Words that tell an integer's width, and names of types that SQLite keeps as numbers or text of its choice.
+WIDTHS = {"tiny": "Boolean", "small": "SmallInt", "int2": "SmallInt", "big": "BigInt", "int8": "BigInt"}
+NAMED = {"boolean": "Boolean", "datetime": "NaiveDateTime", "timestamp": "NaiveDateTime", "date": "Date", "time": "Time"}
+
+
+def affinity(declared: str) -> str:
+    """The affinity that SQLite gives a declared type."""
+    if not declared.strip():
+        return "BLOB"
+    return next((a for a, words in AFFINITIES.items() if any(w in declared.lower() for w in words)), "NUMERIC")
 
 
 def sqlite_type(declared: str) -> str:
-    for scalar, pattern in SQLITE_TYPES:
-        if re.fullmatch(pattern, declared.lower()):
-            return scalar
-    raise InferenceError(f"Unsupported type: {declared}")
+    """The scalar of a declared type: its affinity's, by width where that is told."""
+    kind, text = affinity(declared), declared.lower()
+    if kind == "INTEGER":
+        return next((scalar for word, scalar in WIDTHS.items() if word in text), "Int")
+    if kind == "REAL":
+        return "Double" if "doub" in text else "Float"
+    if kind == "TEXT":
+        return "String"
+    if kind == "BLOB" or "binary" in text:
+        return "Binary"
+    if "num" in text or "dec" in text:
+        return "Double"
+    name = text.split("(")[0].strip()
+    if name not in NAMED:
+        raise InferenceError(f"Unsupported type: {declared}")
+    return NAMED[name]
 
 
 #: Types of PostgreSQL by their short names.
@@ -205,20 +217,49 @@ def _guess_links(tables: dict[str, TableInfo]) -> list[ForeignKey]:
     return out
 
 
-def read_postgres(spark: SparkSession, url: str, schema: str = "public") -> tuple[dict[str, TableInfo], list[ForeignKey]]:
-    """Tables of a PostgreSQL schema from its information_schema, by JDBC."""
+Rows = Callable[[str], list]
+
+
+def jdbc_rows(spark: SparkSession, url: str) -> Rows:
+    """A function from a query to its rows, by JDBC."""
     jdbc = "jdbc:" + re.sub(r"^postgres(ql)?:", "postgresql:", url)
+    return lambda sql: spark.read.format("jdbc").options(url=jdbc, query=sql).load().collect()
+
+
+def assembled(names: list[str], columns: list[tuple[str, ColumnInfo]], keys: list[tuple[str, str]], links: list[tuple[str, str, str, str, str]]) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+    """links: (child, parent, column, key, name of the constraint)."""
+    tables = {n: TableInfo(n, tuple(c for t, c in columns if t == n), tuple(c for t, c in keys if t == n)) for n in names}
+    return tables, sorted(ForeignKey(*r[:4], sum(x[4] == r[4] and x[0] == r[0] for x in links) > 1) for r in links)
+
+
+def _tables(rows: Rows, schema: str) -> list[str]:
+    found = rows(f"SELECT table_name AS t FROM information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE' ORDER BY table_name")
+    return [r[0] for r in found if not r[0].startswith("__")]
+
+
+def read_postgres(rows: Rows, schema: str = "public") -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+    """Tables of a PostgreSQL schema from its information_schema."""
+    columns = rows(f"SELECT table_name AS t, column_name AS c, udt_name AS u, is_nullable AS n, CASE WHEN column_default IS NULL THEN 0 ELSE 1 END AS d FROM information_schema.columns WHERE table_schema = '{schema}' ORDER BY ordinal_position")
+    usage = "information_schema.table_constraints c JOIN information_schema.key_column_usage k ON c.constraint_schema = k.constraint_schema AND c.constraint_name = k.constraint_name AND c.table_name = k.table_name"
+    keys = rows(f"SELECT k.table_name AS t, k.column_name AS c FROM {usage} WHERE c.constraint_type = 'PRIMARY KEY' AND c.constraint_schema = '{schema}' ORDER BY k.ordinal_position")
+    links = rows(f"SELECT k.table_name AS t, u.table_name AS p, k.column_name AS c, u.column_name AS k, k.constraint_name AS n FROM {usage} JOIN information_schema.constraint_column_usage u ON c.constraint_schema = u.constraint_schema AND c.constraint_name = u.constraint_name WHERE c.constraint_type = 'FOREIGN KEY' AND c.constraint_schema = '{schema}'")
+    return assembled(_tables(rows, schema), [(r[0], ColumnInfo(r[1], postgres_type(r[2]), r[3] == "YES", bool(r[4]))) for r in columns], [tuple(r) for r in keys], [tuple(r) for r in links])
+
+
+def read_mysql(rows: Rows, schema: str) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+    """Tables of a MySQL database from its information_schema. Unsigned integers take the next wider scalar."""
+    columns = rows(f"SELECT table_name AS t, column_name AS c, column_type AS u, is_nullable AS n, CASE WHEN column_default IS NULL AND extra <> 'auto_increment' THEN 0 ELSE 1 END AS d FROM information_schema.columns WHERE table_schema = '{schema}' ORDER BY ordinal_position")
+    usage = f"SELECT table_name AS t, column_name AS c, referenced_table_name AS p, referenced_column_name AS k, constraint_name AS n FROM information_schema.key_column_usage WHERE table_schema = '{schema}' ORDER BY ordinal_position"
+    wider = {"SmallInt": "Int", "Int": "BigInt"}
 
-    def rows(sql: str):
-        return spark.read.format("jdbc").options(url=jdbc, query=sql).load().collect()
+    def info(r) -> ColumnInfo:
+        scalar, unsigned = mysql_type(r[2])
+        return ColumnInfo(r[1], wider.get(scalar, scalar) if unsigned else scalar, r[3] == "YES", bool(r[4]))
 
-    names = [r[0] for r in rows(rf"SELECT table_name FROM information_schema.tables WHERE table_schema = '{schema}' AND table_type = 'BASE TABLE' AND table_name NOT LIKE '\_\_%' ORDER BY table_name")]
-    columns = rows(f"SELECT table_name, column_name, udt_name, is_nullable, column_default IS NOT NULL AS has_default FROM information_schema.columns WHERE table_schema = '{schema}' ORDER BY ordinal_position")
-    usage = "information_schema.table_constraints c JOIN information_schema.key_column_usage k USING (constraint_schema, constraint_name)"
-    keys = rows(f"SELECT k.table_name, k.column_name FROM {usage} WHERE c.constraint_type = 'PRIMARY KEY' AND c.constraint_schema = '{schema}' ORDER BY k.ordinal_position")
-    links = rows(f"SELECT k.table_name, u.table_name, k.column_name, u.column_name, k.constraint_name FROM {usage} JOIN information_schema.constraint_column_usage u USING (constraint_schema, constraint_name) WHERE c.constraint_type = 'FOREIGN KEY' AND c.constraint_schema = '{schema}'")
-    tables = {n: TableInfo(n, tuple(ColumnInfo(r[1], postgres_type(r[2]), r[3] == "YES", bool(r[4])) for r in columns if r[0] == n), tuple(r[1] for r in keys if r[0] == n)) for n in names}
-    return tables, sorted(ForeignKey(r[0], r[1], r[2], r[3], sum(x[4] == r[4] for x in links) > 1) for r in links)
+    found = rows(usage)
+    keys = [(r[0], r[1]) for r in found if r[4] == "PRIMARY"]
+    links = [(r[0], r[2], r[1], r[3], r[4]) for r in found if r[2] is not None]
+    return assembled(_tables(rows, schema), [(r[0], info(r)) for r in columns], keys, links)
 
 
 # -- entities --------------------------------------------------------------------
@@ -278,17 +319,21 @@ def printed(tables: dict[str, TableInfo], links: Iterable[ForeignKey]) -> str:
     return "\n".join(out)
 
 
-def infer(source: str, schema: str = "public", spark: SparkSession | None = None) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+def infer(source: str, schema: str | None = None, spark: SparkSession | None = None) -> tuple[dict[str, TableInfo], list[ForeignKey]]:
+    """``schema``: of PostgreSQL, public if none is given; of MySQL, the URL's database."""
     kind = backend(source)
     if kind == "sqlite":
         return read_sqlite(source)
     spark = spark or SparkSession.builder.getOrCreate()
-    return read_postgres(spark, source, schema) if kind == "postgres" else read_parquet(spark, source)
+    if kind == "parquet":
+        return read_parquet(spark, source)
+    rows = jdbc_rows(spark, source)
+    return read_postgres(rows, schema or "public") if kind == "postgres" else read_mysql(rows, schema or source.split("?")[0].rsplit("/", 1)[-1])
 
 
 def main(args: list[str]) -> int:
     if not args or args[0] in ("-h", "--help"):
-        print("usage: python -m nestql.sources.infer <folder | sqlite file | postgres url> [schema]")
+        print("usage: python -m nestql.sources.infer <folder | sqlite file | postgres or mysql url> [schema]")
         return 2
     print(printed(*infer(*args[:2])), end="")
     return 0

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -102,6 +103,11 @@ class Transaction(Snapshot):
         self.changes.setdefault(name, []).append({"path": path, "keys": keys.columns})
         return self.store.spark.read.schema(keys.schema).parquet(self.store.place(path))
 
+    def update(self, name: str, rows: DataFrame, keys: Sequence[str], changed: Sequence[str]) -> None:
+        """``rows``, with the changed values, take the place of those with their keys."""
+        self.append(name, rows)
+        self.delete(name, rows.select(*[f"`{c}`" for c in keys]).distinct())
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """The table is ``rows``, whatever it was."""
         self.schemas[name] = rows.schema.json()
