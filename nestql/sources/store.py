@@ -10,12 +10,13 @@ at its begin, and commits by renaming a new one to the next number, which fails
 if that number is taken: of two that began at one version, the second to commit
 gets ``Conflict`` and has to begin again. Readers pin a manifest with
 ``snapshot`` and see one version throughout. Folders of a failed transaction are
-removed. Works on any file system that Spark reads.
+removed, those of old versions by ``vacuum``. Works on any file system that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -172,8 +173,9 @@ class VersionedStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._Path(f"{self.path}/_manifests"))]
         return max((int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith(".")), default=0)
 
-    def manifest(self) -> Manifest:
-        n = self._latest()
+    def manifest(self, number: int | None = None) -> Manifest:
+        """Of a version, or the last one."""
+        n = self._latest() if number is None else number
         if not n:
             return Manifest()
         stream = self._fs.open(self._Path(f"{self.path}/_manifests/{n:012d}.json"))
@@ -198,6 +200,31 @@ class VersionedStore:
                 raise Conflict from e
             raise
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove the versions before the last ``keep`` and the folders that none of these lists; gives how many folders went.
+
+        Snapshots of removed versions can't be read any more. Folders of transactions
+        that may still commit are of newer versions and stay.
+        """
+        manifests = self._Path(f"{self.path}/_manifests")
+        numbers = sorted(int(n[:-5]) for s in self._fs.listStatus(manifests) if (n := s.getPath().getName()).endswith(".json") and not n.startswith("."))
+        kept, old = numbers[-keep:], numbers[:-keep]
+        if not old:
+            return 0
+        listed = {p["path"] for n in kept for parts in self.manifest(n).tables.values() for p in parts}
+        gone = 0
+        for table in self._fs.listStatus(self._Path(self.path)):
+            name = table.getPath().getName()
+            for part in self._fs.listStatus(table.getPath()) if table.isDirectory() and name != "_manifests" else []:
+                path = f"{name}/{part.getPath().getName()}"
+                made = re.match(r"v(\d+)-", part.getPath().getName())
+                if path not in listed and made and int(made[1]) <= kept[0]:
+                    self.remove(path)
+                    gone += 1
+        for n in old:
+            self._fs.delete(self._Path(f"{self.path}/_manifests/{n:012d}.json"), False)
+        return gone
+
     def snapshot(self) -> Snapshot:
         return Snapshot(self, self.manifest())
 

@@ -1,7 +1,4 @@
-"""A small fixture: heroes, their species, home worlds, friends and films.
-
-Fixed values: names, descriptions and rows are those of the expected results.
-"""
+"""A small fixture: heroes, their species, home worlds, friends and films."""
 
 from nestql.engine import Engine
 from nestql.model import Column, Entity, EnumType, HasMany, HasOne, InputField, Mutation, RootField
@@ -29,6 +26,7 @@ HERO = Entity(
 APPEARS_IN = Entity("AppearsIn", "appears_in", (HasOne("hero_id", "Hero"), Column("episode", Episode)), ("hero_id", "episode"))
 FRIEND = Entity("Friend", "friends", (Column("hero_id", "Int"), HasOne("friend_id", "Hero")), ("hero_id", "friend_id"))
 
+#: The rows, and the names and descriptions of entities and fields above, are those of the expected results.
 ROWS = {
     "species": ("id int, name string", [(1, "Human"), (2, "Robot")]),
     "home_worlds": ("id int, name string", [(1, "Tatooine"), (2, "Alderaan")]),

@@ -145,6 +145,23 @@ def test_changes_dont_rewrite_tables(spark, tmp_path):
     assert sorted((r.id, r.hair_color) for r in store.table("heros").collect()) == [(1, "grey"), (2, f"c{i}"), *want[2:]]
 
 
+def test_vacuum_removes_what_no_kept_version_lists(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    store.commit(S.frames(spark))
+    e = S.engine(spark, store)
+    assert store.vacuum() == 0
+    for i in range(3):
+        e.execute(ADD.format(f"n{i}"))
+        store.commit({"heros": store.table("heros")})
+    late = store.begin()
+    late.append("species", store.table("species").limit(0))
+    assert store.vacuum(keep=2) == 2  # of the four folders of heros, the last two versions list two
+    assert len(list((tmp_path / "s" / "_manifests").glob("[0-9]*.json"))) == 2
+    assert store.table("heros").count() == 5 and store.table("species").count() == 5
+    late.commit()
+    assert store.table("species").count() == 5 and store.vacuum(keep=1) == 1
+
+
 def test_attached_tables_stay_where_they_are(spark, sf_dir, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "s"))
     tx = store.begin()
