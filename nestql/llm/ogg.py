@@ -1,8 +1,8 @@
 """Media columns in the Ogg container.
 
-``mux`` writes logical streams as Ogg pages: packets cut into lacing values,
-a checksum and a granule position a page, a first page of each stream before
-all others. ``demux`` reads them back: it verifies page checksums and sequence
+``mux`` writes logical streams as Ogg pages: packets cut into lacing values, which
+fill pages and so go on across them, a checksum and a granule position a page, a
+first page of each stream before all others. ``demux`` reads them back: it verifies page checksums and sequence
 numbers, reassembles packets from the lacing values, also across pages, and
 keeps the logical streams apart; times come from granule positions.
 
@@ -35,8 +35,6 @@ RATE = 8000
 PACKET = 8192
 #: Lacing values of a page; the format's most is 255.
 LACING = 255
-#: Packets of a page at most, so that a page holds about 64 KB.
-PAGE_PACKETS = 7
 SAMPLES, LENGTHS = b"NqPCM8\x00\x01", b"NqLEN\x00\x00\x01"
 #: What the format says of a page on which no packet ends.
 NO_GRANULE = (1 << 64) - 1
@@ -67,15 +65,15 @@ def _page(serial: int, number: int, flags: int, granule: int, lacing: bytes, bod
 def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[bytes]:
     """The pages of one stream. packets: (bytes, granule position at its end); the first has a page of its own."""
     out: list[bytes] = []
-    lacing, body, granule, ended, continued = bytearray(), bytearray(), NO_GRANULE, 0, False
+    lacing, body, granule, continued = bytearray(), bytearray(), NO_GRANULE, False
 
     def flush(last: bool, goes_on: bool) -> None:
-        nonlocal granule, ended, continued
+        nonlocal granule, continued
         flags = CONTINUED * continued | FIRST * (not out) | LAST * last
         out.append(_page(serial, len(out), flags, granule, bytes(lacing), bytes(body)))
         lacing.clear()
         body.clear()
-        granule, ended, continued = NO_GRANULE, 0, goes_on
+        granule, continued = NO_GRANULE, goes_on
 
     for k, (packet, end) in enumerate(packets):
         left, at = len(packet), 0
@@ -92,8 +90,8 @@ def pages_of(serial: int, packets: list[tuple[bytes, int]]) -> list[bytes]:
                 lacing.append(left)
                 body += packet[at:]
                 break
-        granule, ended = end, ended + 1
-        if k and ended == PAGE_PACKETS and k + 1 < len(packets) or k == 0 and len(packets) > 1:
+        granule = end
+        if k == 0 and len(packets) > 1:
             flush(False, False)
     flush(True, False)
     return out
@@ -243,6 +241,7 @@ def decode(df: DataFrame) -> DataFrame:
         return run
 
     added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    df = tidy(df, "media")
     return map_texts(df, start, added, text="media", keep=[c for c in df.columns if c != "media"])
 
 
