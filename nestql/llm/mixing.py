@@ -17,7 +17,10 @@ times the factors of its source, language and topic, which are set in rounds
 until the sums by margin meet the targets to ``TOLERANCE``. ``reach`` lowers the
 kept share to what the targets allow: a value of a margin can fill its target
 only if the kept share is at most its own share over its target's, and
-``FILL`` of the least of these leaves the cells some room. The registered query
+``FILL`` of the least of these leaves the cells some room. So that a rare value
+doesn't make all others rare, targets that aren't given are then held to ``LIFT``
+times a value's own share, and the rest shares what these leave; the kept share
+is thus ``FILL`` / ``LIFT`` at least. The registered query
 and the pipeline set both; ``shares`` reports targets and what became of them. Without
 ``reach``, a value whose documents can't fill its target is kept whole, and the
 rest of its margin shares what it leaves by their targets.
@@ -52,9 +55,11 @@ TEMPER = 0.7
 ROUNDS = 12
 MAX_CELLS = 100_000
 #: Difference of a margin's sums from their targets, as shares, at which calibration ends; and its rounds at most.
-TOLERANCE, MOST_ROUNDS = 1e-10, 24
+TOLERANCE, MOST_ROUNDS = 1e-10, 60
 #: Of the largest kept share at which each value alone could fill its target, the part that is used.
 FILL = 0.95
+#: Of targets that aren't given, the largest as a multiple of the value's own share, where targets are to be reached.
+LIFT = 1.5
 #: In calibration, the least part of its bound that a cell's sum may fall to, and the inverse of the most that it may exceed it by.
 LEAST = 1e-9
 MARGINS = ("source", "lang", "topic")
@@ -173,7 +178,9 @@ def _raked_here(rows: list, targets: Targets | None, keep: float, temper: float,
         have = np.bincount(at, weights=sums, minlength=len(names))
         share = _shares(dict(zip(names, have.tolist(), strict=True)), (targets or {}).get(m), temper)
         values.append(at)
-        shares.append(np.array([share[v] for v in names]))
+        goal = np.array([share[v] for v in names])
+        held = reach and (targets or {}).get(m) is None
+        shares.append(reachable(LIFT * have / max(have.sum(), 1e-300), goal) if held else goal)
     if reach:
         keep = min(keep, FILL * most_kept(sums, values, shares))
     raked = rake_bounded(values, sums, shares, keep, rounds) if calibrated else rake(values, sums, shares, rounds)
@@ -213,6 +220,9 @@ def _raked_there(cells: DataFrame, targets: Targets | None, keep: float, temper:
             want = have.select(m, "have", F.when(F.col("have") > 0, F.pow("have", F.lit(temper))).otherwise(0.0).alias("raw"))
         want = written(want, "goal")
         wanted[m] = want.withColumn("goal", F.col("raw") / F.lit(want.agg(F.sum("raw")).first()[0] or 1.0))
+        if reach and given is None:
+            lifted = wanted[m].withColumns({"own": F.col("have"), "have": F.col("have") * F.lit(LIFT / max(total, 1))})
+            wanted[m] = written(_reachable_there(lifted).withColumn("have", F.col("own")).drop("own"), "goal")
         if reach:
             least = wanted[m].filter((F.col("goal") > 0) & (F.col("have") > 0)).agg(F.min(F.col("have") / F.col("goal"))).first()[0]
             keep = min(keep, FILL * min(1.0, (least or float(max(total, 1))) / max(total, 1)))
@@ -337,7 +347,14 @@ def _sql() -> str:
             name = f"c{i}_{m}"
             steps.append(f"{name} AS MATERIALIZED (SELECT {cells}, CASE WHEN t_{m} > 0 THEN least(greatest(x * {step}, b * {LEAST}), b / {LEAST}) ELSE 0 END AS x FROM (SELECT *, {have} AS h, {held} AS d, {free} AS f FROM {last}))")
             last = name
-    goals = ", ".join(f"g_{m} AS (SELECT {m}, r / sum(r) OVER () AS t_{m}, w / sum(w) OVER () AS o_{m} FROM (SELECT {m}, sum(w) AS w, CASE WHEN sum(w) > 0 THEN pow(sum(w), {TEMPER}) ELSE 0 END AS r FROM cells GROUP BY {m}))" for m in MARGINS)
+    goals = ", ".join(
+        f"""r_{m} AS (SELECT {m}, r / sum(r) OVER () AS r, w / sum(w) OVER () AS o, {LIFT} * w / sum(w) OVER () AS most
+            FROM (SELECT {m}, sum(w) AS w, CASE WHEN sum(w) > 0 THEN pow(sum(w), {TEMPER}) ELSE 0 END AS r FROM cells GROUP BY {m})),
+g_{m} AS MATERIALIZED (SELECT {m}, o AS o_{m}, CASE WHEN r > 0 THEN least(most, r * max(CASE WHEN r > 0 THEN (1 - filled) / rest END) OVER ()) ELSE 0 END AS t_{m} FROM (
+    SELECT *, coalesce(sum(most) OVER (ORDER BY most / nullif(r, 0), {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+           sum(r) OVER (ORDER BY most / nullif(r, 0), {m} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r_{m}))"""
+        for m in MARGINS
+    )
     least = " UNION ALL ".join(f"SELECT min(o_{m} / t_{m}) AS r FROM g_{m} WHERE t_{m} > 0" for m in MARGINS)
     return f"""
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),

@@ -121,6 +121,16 @@ def brute_calibrated(sums, values, targets, keep):
     return p
 
 
+def brute_targets(have):
+    """Own shares to the power of TEMPER, held to LIFT times the own ones: the others' factor by bisection."""
+    own, raw = have / have.sum(), np.where(have > 0, have**M.TEMPER, 0)
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(M.LIFT * own, mid * raw).sum() < 1 else (low, mid)
+    return np.minimum(M.LIFT * own, high * raw)
+
+
 def corpus(spark, n=30_000):
     rows = [(i, "w " * (5 + i % 11) + ("x@y" if i % 13 == 0 else " | " if i % 29 == 0 else ""), f"s{i * i % 17 % 5}", "en" if i % 7 else "de") for i in range(n)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
@@ -151,11 +161,23 @@ def test_query_meets_its_targets(spark, sf_dir):
     values = [np.unique(cells.reset_index()[m], return_inverse=True)[1] for m in M.MARGINS]
     sums = cells.tokens.to_numpy(float)
     have = [np.bincount(v, weights=sums) for v in values]
-    targets = [h**M.TEMPER / (h**M.TEMPER).sum() for h in have]
+    targets = [brute_targets(h) for h in have]
     keep = min(M.KEEP, M.FILL * min(float((h / h.sum() / t).min()) for h, t in zip(have, targets)))
     assert np.abs(brute_calibrated(sums, values, targets, keep) - cells.prob).max() < 1e-5
 
 
+@pytest.mark.parametrize("max_cells", [M.MAX_CELLS, 1])
+def test_rare_values_dont_make_others_rare(spark, max_cells):
+    rows = [(i, "w " * 10, "big" if i else "rare", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    mixed = M.to_targets(df, max_cells=max_cells).cache()
+    got = {r.value: r for r in M.shares(mixed).filter("margin = 'source'").collect()}
+    assert abs(got["rare"].target - M.LIFT / 3000) < 1e-9 and abs(got["rare"].expected - got["rare"].target) < 1e-9
+    total = sum(r.prob * r.n_tokens for r in mixed.collect()) / 30_000
+    assert abs(total - M.FILL / M.LIFT) < 1e-6
+    mixed.unpersist()
+
+
 def test_topics_of_a_column(spark):
     df = corpus(spark, 500).selectExpr("*", "case when doc_id % 5 = 0 then 'law' when doc_id % 5 < 4 then 'sport' end as Subject")
     out = M.mix(df, topic_column="subject").toPandas()

@@ -10,7 +10,7 @@ import tiktoken
 import corpus_pipeline as C
 from nestql.llm import bpe, language_id, mixing
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_mixing import brute_calibrated
+from tests.llm.test_mixing import brute_calibrated, brute_targets
 from tests.llm.test_simhash import brute_components, brute_print
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,15 +65,14 @@ def test_mixing(stages):
         sums[keys.index(cell[r.doc_id])] += len(r.text.split())
     values = [np.unique([k[i] for k in keys], return_inverse=True)[1] for i in range(3)]
     have = [np.bincount(v, weights=sums) for v in values]
-    shares = [np.where(x > 0, x**mixing.TEMPER, 0) for x in have]
-    targets = [s / s.sum() for s in shares]
+    targets = [brute_targets(x) for x in have]
     keep = min(mixing.KEEP, mixing.FILL * min(float((x / x.sum() / t).min()) for x, t in zip(have, targets)))
     p = brute_calibrated(sums, values, targets, keep)
     for v, t in zip(values, targets):
         assert np.allclose(np.bincount(v, weights=p * sums) / (p * sums).sum(), t, atol=1e-6)
     draw = lambda i: int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:8], 16) / 2**32
     assert after == [r for r in before if draw(r.doc_id) < p[keys.index(cell[r.doc_id])]]
-    assert abs((p * sums).sum() / sums.sum() - keep) < 1e-6
+    assert abs((p * sums).sum() / sums.sum() - keep) < 1e-6 and keep >= mixing.FILL / mixing.LIFT - 1e-9
 
 
 def test_byte_bpe(stages):
