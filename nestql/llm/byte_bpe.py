@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestql.llm import bpe
-from nestql.llm.common import OWN, map_texts, ship, small_batches, table, tidy, with_outputs, written
+from nestql.llm.common import OWN, give_back, map_texts, ship, small_batches, table, tidy, with_outputs, written
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a chunk, and of its overlap with the next.
@@ -221,6 +221,11 @@ def dealt(long: DataFrame, path: str, chunk: int, overlap: int, segment: int) ->
 
     def single(batches):
         encoder = Encoder(path)
+        yield from each(encoder, batches)
+        del encoder
+        give_back()
+
+    def each(encoder, batches):
         for batch in batches:
             for uid, run, cut, end, _, _, at, part, sizes in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
                 places = np.cumsum([0, *sizes]).tolist()

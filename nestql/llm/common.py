@@ -116,6 +116,16 @@ def slices(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside others that need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(df: DataFrame, func: Callable, added: str, *, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add columns computed from a text column, whole texts, a bounded slice at a time.
 
@@ -136,14 +146,18 @@ def map_texts(df: DataFrame, func: Callable, added: str, *, text: str = "text",
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, f = to_arrow_schema(out), None
-        for whole in batches:
-            for batch in slices(whole, f"{OWN}text"):
-                f = f or func()
-                columns = f(batch.column(f"{OWN}text").to_pylist())
-                arrays = [batch.column(c) for c in carried]
-                arrays = [a.cast(field.type) if a.type != field.type else a for a, field in zip(arrays, schema, strict=False)]
-                arrays += [pa.array(v, type=field.type) for v, field in zip(columns, list(schema)[len(carried) :], strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        try:
+            for whole in batches:
+                for batch in slices(whole, f"{OWN}text"):
+                    f = f or func()
+                    columns = f(batch.column(f"{OWN}text").to_pylist())
+                    arrays = [batch.column(c) for c in carried]
+                    arrays = [a.cast(field.type) if a.type != field.type else a for a, field in zip(arrays, schema, strict=False)]
+                    arrays += [pa.array(v, type=field.type) for v, field in zip(columns, list(schema)[len(carried) :], strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        finally:
+            f = None
+            give_back()
 
     return frame.mapInArrow(run, out)
 
