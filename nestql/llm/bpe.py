@@ -34,8 +34,7 @@ _word_like = regex.compile(r"[\p{L}\p{N}]")
 _blank = "".join(re.escape(chr(c)) for c in range(0x3001) if regex.match(r"\s", chr(c)))
 #: A text's words, each with the blank before it, and its runs of blanks: the pattern's matches never cross their edges.
 WORD = re.compile(f" ?[^{_blank}]+|[{_blank}]+(?![^{_blank}])|[{_blank}]")
-#: Signs that end many words.
-SIGNS = frozenset(".,;:!?")
+_blanks = frozenset(["", *(chr(c) for c in range(0x3001) if regex.match(r"\s", chr(c)))])
 _edge = re.compile(f"(?<=[^{_blank}])[{_blank}]")
 
 
@@ -221,20 +220,23 @@ def matches(text: str, other: Callable[[str], bool]) -> list[str]:
     return PATTERN.findall(text)
 
 
-def pieces(words: Iterable[str], other: Callable[[str], bool]) -> tuple[list[bytes], list[list[int]]]:
-    """Distinct matches of the pattern in words, as bytes, and for each word their numbers."""
-    numbers: dict[str, int] = {}
-    number = numbers.setdefault
-    of = []
+def pieces(words: Iterable[str], other: Callable[[str], bool]) -> tuple[list[str], list[bytes], list[int]]:
+    """Words in another order, the pattern's matches of all of them as bytes, and how many each word has.
+
+    Words after a blank are split joined together: no match crosses their edges.
+    """
+    led: list[str] = []
+    rest: list[str] = []
     for w in words:
-        body = w[1:] if w[0] == " " else w
-        if body.isalpha():  # letters are one match, also before one sign at the end
-            of.append([number(w, len(numbers))])
-        elif body[-1:] in SIGNS and body[:-1].isalpha():
-            of.append([number(w[:-1], len(numbers)), number(w[-1], len(numbers))])
-        else:
-            of.append([number(p, len(numbers)) for p in matches(w, other)])
-    return [p.encode("utf-8", "surrogatepass") for p in numbers], of
+        (led if w[0] == " " and w[1:2] not in _blanks else rest).append(w)
+    found = matches("".join(led), other)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+    counts = np.diff(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, led), np.int64, len(led))), side="right"), prepend=0).tolist()
+    for w in rest:
+        own = matches(w, other)
+        found += own
+        counts.append(len(own))
+    return led + rest, [p.encode("utf-8", "surrogatepass") for p in found], counts
 
 
 @lru_cache(maxsize=4096)

@@ -56,23 +56,24 @@ class Encoder:
     def pieces(self, strings: list[bytes]) -> list[bytes]:
         """Ids of each match, as little-endian 32-bit integers: its own where it is a token, else by merging."""
         out = [*map(self.single.get, strings)]
-        rest = [i for i, x in enumerate(out) if x is None]
-        flat, sizes = self.merges.ragged([strings[i] for i in rest])
+        rest = {s: b"" for s, x in zip(strings, out, strict=True) if x is None}
+        flat, sizes = self.merges.ragged([*rest])
         ids, at = flat.astype("<u4").tobytes(), 0
-        for i, n in zip(rest, (4 * sizes).tolist(), strict=True):
-            out[i] = ids[at : at + n]
+        for s, n in zip(rest, (4 * sizes).tolist(), strict=True):
+            rest[s] = ids[at : at + n]
             at += n
-        return out
+        return [rest[s] if x is None else x for s, x in zip(strings, out, strict=True)]
 
     def learn(self, words: set[str]) -> None:
         new = words - self.known.keys()
         if self.known and len(self.known) + len(new) > bpe.MEMORY:
             self.old, self.known, new = self.known, {}, words
         self.known |= {w: self.old[w] for w in new & self.old.keys()}
-        order = list(new - self.known.keys())
-        strings, of = bpe.pieces(order, bpe.other_in_tiktoken)
-        ids = self.pieces(strings)
-        self.known |= {w: ids[own[0]] if len(own) == 1 else b"".join([ids[i] for i in own]) for w, own in zip(order, of, strict=True)}
+        order, strings, counts = bpe.pieces(new - self.known.keys(), bpe.other_in_tiktoken)
+        ids, at = self.pieces(strings), 0
+        for w, n in zip(order, counts, strict=True):
+            self.known[w] = ids[at] if n == 1 else b"".join(ids[at : at + n])
+            at += n
 
     def encode(self, split: list[list[str]]) -> list[bytes]:
         """Ids of each list of words as little-endian 32-bit integers."""

@@ -13,6 +13,8 @@ replaced, all others are kept.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,12 @@ class Counter:
         if self.known and len(self.known) + len(new) > bpe.MEMORY:
             self.old, self.known, new = self.known, {}, words
         self.known |= {w: self.old[w] for w in new & self.old.keys()}
-        order = list(new - self.known.keys())
-        strings, of = bpe.pieces(order, bpe.other_in_tokenizers)
-        counts = self.merges.ragged(strings)[1].tolist()
-        self.known |= {w: sum([counts[i] for i in ids]) for w, ids in zip(order, of, strict=True)}
+        order, strings, counts = bpe.pieces(new - self.known.keys(), bpe.other_in_tokenizers)
+        distinct = [*dict.fromkeys(strings)]
+        size = dict(zip(distinct, self.merges.ragged(distinct)[1].tolist(), strict=True))
+        ends = list(accumulate(counts))
+        total = [0, *accumulate(map(size.__getitem__, strings))]
+        self.known |= {w: total[end] - total[end - n] for w, n, end in zip(order, counts, ends, strict=True)}
 
     def parts(self, text: str) -> tuple[list[str], int]:
         found, out = 0, [text]

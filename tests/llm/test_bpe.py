@@ -68,6 +68,18 @@ def test_chunks_stitch_to_the_whole_split(size, overlap):
             assert byte_bpe.words_of(t, size, overlap) == bpe.WORD.findall(t)
 
 
+def test_words_are_split_together_as_alone():
+    words = {w for t in texts() for w in bpe.WORD.findall(t)}
+    for other in (bpe.other_in_tokenizers, bpe.other_in_tiktoken):
+        order, strings, counts = bpe.pieces(words, other)
+        assert sorted(order) == sorted(words) and sum(counts) == len(strings)
+        at = 0
+        for w, n in zip(order, counts):
+            assert [s.decode() for s in strings[at : at + n]] == bpe.matches(w, other)
+            at += n
+    assert bpe.pieces(set(), bpe.other_in_tiktoken) == ([], [], [])
+
+
 def test_long_words_take_linear_time():
     text = "x" * 3_000_000 + " y " * 100_000
     assert byte_bpe.words_of(text) == bpe.WORD.findall(text)
