@@ -65,6 +65,8 @@ class Mutations:
 
     def tried(self, action: Callable[[Any], Any]) -> Any:
         """An action in a transaction of its own."""
+        if not hasattr(self.engine.catalog, "begin"):
+            raise EngineError("These tables can't be changed")
         for left in range(RETRIES, -1, -1):
             tx = self.engine.catalog.begin()
             try:

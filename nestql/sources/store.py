@@ -72,7 +72,7 @@ class Snapshot:
             elif out is not None:
                 columns = [f"`{c}`" for c in out.columns]
                 out = out.join(self._read(paths, self.manifest.schemas[paths[0]]), list(keys), "left_anti").select(*columns)
-        return self._read([], schema) if out is None else out
+        return self.store.spark.createDataFrame([], StructType.fromJson(json.loads(schema))) if out is None else out
 
 
 class Transaction(Snapshot):

@@ -162,6 +162,17 @@ def test_vacuum_removes_what_no_kept_version_lists(spark, tmp_path):
     assert store.table("species").count() == 5 and store.vacuum(keep=1) == 1
 
 
+def test_tables_that_cant_be_changed(spark, sf_dir):
+    from nestql import tpch
+    from nestql.engine import Engine
+    from nestql.model import Mutation
+    from nestql.sources.catalog import ParquetCatalog
+
+    e = Engine(ParquetCatalog(spark, sf_dir), tpch.schema([Mutation("Nation")]))
+    out = e.execute("mutation { DeleteNation(DeleteNation: {n_nationkey: 3}) { count } }")
+    assert out["data"] == {"DeleteNation": None} and out["errors"][0]["message"] == "These tables can't be changed"
+
+
 def test_attached_tables_stay_where_they_are(spark, sf_dir, tmp_path):
     store = VersionedStore(spark, str(tmp_path / "s"))
     tx = store.begin()
