@@ -122,7 +122,9 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = B
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col(_DOC) > b).cast("int")
-    lines = docs.select(*own, F.posexplode(F.split(F.translate(text, UPPER, LOWER), "\n", -1)).alias(_POS, "line"))
+    # a text of ASCII alone has no other letters that lower() would change, and is lowered many at a time
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    lines = docs.select(*own, F.posexplode(F.split(lowered, "\n", -1)).alias(_POS, "line"))
     lines = lines.select(_DOC, _TEXT, _POS, line_key(F.col("line")).alias("k")).filter(F.length("k") >= min_chars)
     lines = lines.select(_DOC, _TEXT, _POS, F.xxhash64("k").alias(_H1), F.xxhash64(F.lit(1), F.col("k")).alias(_H2), batch.alias(_BATCH))
     path = scratch_path(spark, "lines")
