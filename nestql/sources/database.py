@@ -6,6 +6,8 @@ mutation's changes are made in one transaction of the database at its commit.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import sqlite3
 from collections.abc import Iterator, Sequence
 from contextlib import closing
@@ -13,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DateType, StructType, TimestampNTZType
 
 from nestql.errors import Conflict, EngineError
 from nestql.functions.scalars import SPARK
@@ -145,9 +147,6 @@ class JdbcTransaction(DatabaseTransaction):
             connection.close()
 
     def _java(self, v: Any) -> Any:
-        import datetime
-        import decimal
-
         sql = self.catalog.spark.sparkContext._jvm.java.sql
         if isinstance(v, datetime.datetime):
             return sql.Timestamp.valueOf(v.strftime("%Y-%m-%d %H:%M:%S.%f"))
@@ -203,10 +202,6 @@ class SqliteReader(DataSourceReader):
         return [RowRange(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
     def read(self, part: RowRange) -> Iterator[tuple]:
-        from pyspark.sql.types import BooleanType, DateType, TimestampNTZType
-
-        import datetime
-
         kinds = [f.dataType for f in self.schema]
         columns = ", ".join(quoted(f.name) for f in self.schema) or "1"
         with closing(sqlite3.connect(self.path)) as con:
@@ -252,6 +247,14 @@ class SqliteTransaction(DatabaseTransaction):
         self.connection.execute("PRAGMA foreign_keys = ON")
         self.version = self._version()
 
+    @staticmethod
+    def _stored(v: Any) -> Any:
+        if isinstance(v, datetime.datetime):
+            return v.isoformat(" ")
+        if isinstance(v, datetime.date):
+            return v.isoformat()
+        return bytes(v) if isinstance(v, bytearray) else v
+
     def _version(self) -> int:
         """A number that changes when another connection has committed."""
         return self.connection.execute("PRAGMA data_version").fetchone()[0]
@@ -264,7 +267,7 @@ class SqliteTransaction(DatabaseTransaction):
                 raise Conflict
             for sql, rows in self.statements('"'):
                 for batch in batches(rows):
-                    con.executemany(sql, [tuple(v.isoformat(" ") if hasattr(v, "isoformat") and hasattr(v, "hour") else v.isoformat() if hasattr(v, "isoformat") else bytes(v) if isinstance(v, bytearray) else v for v in row) for row in batch])
+                    con.executemany(sql, [tuple(map(self._stored, row)) for row in batch])
             con.execute("COMMIT")
         except sqlite3.Error as e:
             self.rollback()
